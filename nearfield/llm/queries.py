@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality, simhash, substring_dedup, suffix_dedup
+from . import bpe, decontaminate, html_text, line_dedup, pii, quality, simhash, substring_dedup, suffix_dedup, token_files
+
+
+#: The key of the registered query, so that its results are the same in every run; a real corpus takes a secret one.
+DEMO_KEY = b"demonstration key only"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +24,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymize(table(spark, sf_dir, "documents"), DEMO_KEY)
+    return found.select("doc_id", F.size("kinds").cast("long").alias("n_values"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"), "text")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"))
 
@@ -52,6 +61,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return token_files.read(spark, written)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.apply(table(spark, sf_dir, "documents"))
     return found.select(
@@ -81,9 +99,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup,
+        op2_pii,
         op3_byte_bpe,
         op4_suffix_dedup,
         op5_decontaminate,
+        op6_html_text,
+        op7_token_files,
         op8_line_dedup,
         op9_simhash,
         op10_quality,
