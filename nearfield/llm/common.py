@@ -53,6 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row.
+
+    A generator's output is no alias, so the optimizer can't copy its expression
+    into a filter or into a lambda, where it would run for every element.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def utf8(col: str = "text") -> Column:
     """The UTF-8 bytes of a text column; null is the empty text."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

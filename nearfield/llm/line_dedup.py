@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Lines of one window.
 LINES = 3
 _LAST = 2**63 - 1
@@ -32,7 +34,7 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     body = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.struct("*").alias("_row"), spark_id.alias("_id"), F.xxhash64(body).alias("_th"), body.alias("_body"))
 
-    lines = keyed.select("_id", "_th", F.split("_body", "\n").alias("_lines")).where(F.size("_lines") >= LINES)
+    lines = common.once(keyed.select("_id", "_th", "_body"), "_lines", F.split("_body", "\n")).where(F.size("_lines") >= LINES)
     at = lambda i: F.get(F.col("_lines"), i)
     windows = (
         lines.select(
@@ -63,12 +65,12 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # one row a document, of its own positions only
     marked = later.groupBy("_id", "_th").agg(F.collect_set("pos").alias("starts"))
 
-    joined = keyed.join(marked, ["_id", "_th"], "left").withColumn("_split", F.split("_body", "\n"))
+    joined = keyed.join(marked, ["_id", "_th"], "left")
+    joined = common.once(joined, "_split", F.split("_body", "\n"))
     starts = F.coalesce(F.col("starts"), F.array().cast("array<int>"))
     covered = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + (LINES - 1)))))
-    # a column of its own, computed once a row: inside a lambda it would be split again for every line
     split = F.col("_split")
-    joined = joined.withColumn("_covered", covered)
+    joined = common.once(joined, "_covered", covered)
     covered = F.col("_covered")
     stays = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), covered)
     # array_except keeps the order of its first argument

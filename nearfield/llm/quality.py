@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Rows that the cost and the selectivity of the rules are estimated on, at most.
@@ -64,11 +66,10 @@ def with_features(df: DataFrame, text: str = "text", out: str = "_q") -> DataFra
     """
     body = F.coalesce(F.col(text), F.lit(""))
     words, grams, twins, lines = (F.col(f"{out}_{x}") for x in ("w", "g", "t", "l"))
-    found = (
-        df.withColumns({f"{out}_w": word_array(body), f"{out}_l": F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-        .withColumn(f"{out}_g", _sorted_grams(words))
-        .withColumn(f"{out}_t", _twins(grams))
-    )
+    found = common.once(df, f"{out}_w", word_array(body))
+    found = common.once(found, f"{out}_l", F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    found = common.once(found, f"{out}_g", _sorted_grams(words))
+    found = common.once(found, f"{out}_t", _twins(grams))
     features = F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
@@ -79,7 +80,7 @@ def with_features(df: DataFrame, text: str = "text", out: str = "_q") -> DataFra
         .cast("long")
         .alias("n_repeat_words"),
     )
-    return found.withColumn(out, features).drop(*(f"{out}_{x}" for x in "wgtl"))
+    return common.once(found, out, features).drop(*(f"{out}_{x}" for x in "wgtl"))
 
 
 def base_failed(q: Column) -> Column:
