@@ -25,6 +25,8 @@ from . import common
 
 #: Lines of one window.
 LINES = 3
+#: What a line must have that isn't blank.
+SOLID = r"[^\x20\x09-\x0D]"
 _LAST = 2**63 - 1
 
 
@@ -47,7 +49,7 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                         i.alias("pos"),
                         F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h1"),
                         F.xxhash64(F.lit("w"), at(i + 2), at(i + 1), at(i)).alias("h2"),
-                        (at(i).rlike(r"\S") | at(i + 1).rlike(r"\S") | at(i + 2).rlike(r"\S")).alias("solid"),
+                        (at(i).rlike(SOLID) | at(i + 1).rlike(SOLID) | at(i + 2).rlike(SOLID)).alias("solid"),
                     ),
                 )
             ).alias("w"),

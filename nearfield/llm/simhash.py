@@ -146,7 +146,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id, links): the smallest doc_id that linked fingerprints lead to."""
+    """(doc_id, fp, component_id) for each row: the smallest doc_id that linked fingerprints lead to."""
     prints = common.materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     distinct = common.materialize(distinct, "distinct")
