@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,12 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="nearfield-")
     if now.isEmpty():
         sc.setCheckpointDir(found)
-    return found.rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if full.startswith("file:/") and not full.startswith("file://"):
+        full = "file://" + full.removeprefix("file:")
+    return full.rstrip("/")
+
+
+_own: set[str] = set()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it lives as long as the application's checkpoints."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in a folder of the application that goes when the driver ends."""
+    own = f"{shared_dir(spark)}/nearfield-{spark.sparkContext.applicationId}"
+    if own not in _own:
+        _own.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        atexit.register(_remove, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(fs, path) -> None:
+    try:
+        fs.delete(path, True)
+    except Exception:  # the driver's JVM has gone first: the folder stays, as checkpoints do
+        pass
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
