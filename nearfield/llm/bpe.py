@@ -19,8 +19,10 @@ no bytes.
 from __future__ import annotations
 
 import base64
-import heapq
+import sys
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from .chunks import Encoder
 
 #: Ids are kept in 16 bits while encoding, and vocabularies are broadcast: a file with more tokens is refused.
 MAX_TOKENS = 1 << 16
+if sys.byteorder != "little" or array("H").itemsize != 2:
+    raise ImportError("ids are kept as little-endian 16-bit numbers")
 #: Keys a bucket has on average.
 _PER_BUCKET = 2
 
@@ -95,6 +99,21 @@ class PerfectHash:
         return i if self.keys[i] == key else -1
 
 
+class _Pairs(dict):
+    """The rank of two tokens' bytes together, or -1, by the perfect hash; pairs that were asked for stay."""
+
+    def __init__(self, table: PerfectHash, tokens: list[bytes], limit: int = 1_000_000):
+        super().__init__()
+        self.table, self.tokens, self.limit = table, tokens, limit
+
+    def __missing__(self, key: int) -> int:
+        rank = self.table.get(self.tokens[key >> 16] + self.tokens[key & 0xFFFF])
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = rank
+        return rank
+
+
 class Tokenizer:
     """Ranks of whole pre-tokens, and merges of the others."""
 
@@ -111,51 +130,46 @@ class Tokenizer:
         self.prepare()
 
     def prepare(self) -> None:
-        self.pair: dict[int, int] = {}
+        self.pair = _Pairs(self.table, self.tokens)
         self.byte = [self.table.get(bytes([b])) for b in range(256)]
         self.encoder = Encoder(self.pattern, self.token)
 
-    def _rank(self, left: int, right: int) -> int:
-        """The rank of two tokens' bytes together, or -1; the vocabulary bounds the pairs that have one."""
-        key = left << 16 | right
-        rank = self.pair.get(key)
-        if rank is None:
-            rank = self.table.get(self.tokens[left] + self.tokens[right])
-            if len(self.pair) >= 1_000_000:
-                self.pair.clear()
-            self.pair[key] = rank
-        return rank
-
     def merge(self, raw: bytes) -> list[int]:
-        """Heap over linked bytes; stale entries are known by the ids they were made of."""
-        rank, byte = self._rank, self.byte
-        ids = [byte[b] for b in raw]
+        """Heap over linked bytes. An entry is rank and place; it holds if the pair at the place still has the rank."""
+        pair = self.pair
+        ids = [self.byte[b] for b in raw]
         n = len(ids)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i], ids[i + 1])) >= 0]
-        heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
+        ids.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        ranks = [pair[a << 16 | b] for a, b in zip(ids, ids[1:n])]  # of the pair that starts at a place
+        heap = [r << 32 | i for i, r in enumerate(ranks) if r >= 0]
+        ranks.append(-1)
+        heapify(heap)
         while heap:
-            r, i, left, right = pop(heap)
-            j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            e = heappop(heap)
+            rank, i = e >> 32, e & 0xFFFFFFFF
+            if ranks[i] != rank:
                 continue
-            k = after[j]
-            ids[i], ids[j], after[i] = r, -1, k
+            j = after[i]
+            k = after[i] = after[j]
+            ids[i], ids[j] = rank, -1
+            ranks[i] = ranks[j] = -1
+            before[k] = i
             if k < n:
-                before[k] = i
-                if (s := rank(r, ids[k])) >= 0:
-                    push(heap, (s, i, r, ids[k]))
+                s = ranks[i] = pair[rank << 16 | ids[k]]
+                if s >= 0:
+                    heappush(heap, s << 32 | i)
             h = before[i]
-            if h >= 0 and (s := rank(ids[h], r)) >= 0:
-                push(heap, (s, h, ids[h], r))
+            if h >= 0:
+                s = ranks[h] = pair[ids[h] << 16 | rank]
+                if s >= 0:
+                    heappush(heap, s << 32 | h)
         return [x for x in ids if x >= 0]
 
     def token(self, pre_token: str) -> bytes:
         raw = pre_token.encode()
         whole = self.table.get(raw)
-        return np.array([whole] if whole >= 0 else self.merge(raw), "<u2").tobytes()
+        return array("H", [whole] if whole >= 0 else self.merge(raw)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encoder.encode(text), "<u2")
@@ -202,7 +216,7 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            done = [own.decode(ids.values.to_pylist()) if ids.is_valid else b"" for ids in batch.column(1)]
+            done = [own.decode(ids.values.to_numpy().tolist()) if ids.is_valid else b"" for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     source = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
