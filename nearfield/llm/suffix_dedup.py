@@ -64,14 +64,28 @@ def _same_byte(base: np.ndarray, text: np.ndarray, own: int, allowed: np.ndarray
     return out
 
 
+def _sorted(text: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
+    """Direct sort: by the first eight bytes as a number, then ties by the bytes behind them."""
+    head = np.zeros(len(suffixes), np.uint64)
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    for k in range(8):
+        head = head << np.uint64(8) | padded[suffixes + k]
+    order = np.argsort(head, kind="stable")
+    suffixes, head = suffixes[order], head[order]
+    first = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1], [True])))
+    raw, tied = text.tobytes(), np.flatnonzero(np.diff(first) > 1)
+    for a, b in zip(first[tied].tolist(), first[tied + 1].tolist()):
+        suffixes[a:b] = sorted(suffixes[a:b].tolist(), key=lambda i: raw[i + 8 : i + depth])
+    return suffixes
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """All suffixes in the order of their first ``depth`` bytes at least."""
     n = len(text)
     rises = _rises(text)
     falls = ~rises
     turning = np.flatnonzero(rises[:-1] & falls[1:])
-    raw = text.tobytes()
-    turning = np.array(sorted(turning.tolist(), key=lambda i: raw[i : i + depth]), np.int64)
+    turning = _sorted(text, turning, depth)
     heads = text[turning]
     used = np.unique(text).tolist()
     none = np.zeros(0, np.int64)

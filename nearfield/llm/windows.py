@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Different packed strings of one minimiser that one task resolves at most.
-HOT = 2000
+#: Different packed strings of one minimiser that one task resolves at most: some 3 MB of bytes, for which
+#: a suffix array takes about 0.3 GB in the worker.
+HOT = 5000
 #: Tokens hashed at once, and bytes of packed strings resolved at once.
 SEGMENT, CHUNK = 1 << 19, 512 << 10
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
