@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import regex
 
 #: Entries of one generation of a memo, and characters of a text that are split at once.
-MEMO, SLAB = 300_000, 1 << 20
+MEMO, SLAB = 150_000, 1 << 20
 
 #: Unicode White_Space, as a pattern's \s.
 _WHITE = "\t-\r \x85\xa0  -     　"
