@@ -31,10 +31,18 @@ def dimension(base: DataFrame, vec_col: str = "vec") -> int:
 
 
 def pair_distances(base: DataFrame, queries: DataFrame, metric: str = "ip") -> DataFrame:
-    """(qid, id, dist) of every query and base row; a block of queries is broadcast, never the base."""
-    n = queries.limit(scan.QUERY_BLOCK + 1).count()
-    if n > scan.QUERY_BLOCK:
-        raise ValueError(f"over {scan.QUERY_BLOCK} queries; use the arrow plan, which takes them in blocks")
+    """(qid, id, dist) of every query and base row; queries are broadcast in blocks, the base never."""
+    if queries.limit(scan.QUERY_BLOCK + 1).count() <= scan.QUERY_BLOCK:
+        return _pairs(base, queries, metric)
+    out = None
+    for block in scan.query_blocks(queries):
+        rows = [(int(i), v.tolist()) for i, v in zip(block.ids, block.vectors)]
+        part = _pairs(base, base.sparkSession.createDataFrame(rows, "qid long, qvec array<double>"), metric)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _pairs(base: DataFrame, queries: DataFrame, metric: str) -> DataFrame:
     return base.crossJoin(F.broadcast(queries)).select("qid", "id", vector.distance(F.col("vec"), F.col("qvec"), metric).alias("dist"))
 
 

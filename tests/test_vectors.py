@@ -31,6 +31,16 @@ def test_plans_agree_and_partitions_dont_matter(data):
     assert all(k != i for k, _, i in pairs(exact.exact_topk(base, q, 5, exclude_self=True)))
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_pairs_of_many_queries_go_by_blocks(data, metric, monkeypatch):
+    base, q = data
+    want = sorted(exact.pair_distances(base, q, metric).collect())
+    top = sorted(exact.exact_topk(base, q, 5, metric, plan="expr").collect())
+    monkeypatch.setattr(scan, "QUERY_BLOCK", 5)
+    assert sorted(exact.pair_distances(base, q, metric).collect()) == want and len(want) == 12 * 300
+    assert sorted(exact.exact_topk(base, q, 5, metric, plan="expr").collect()) == top
+
+
 def test_k_over_n_and_ties(spark):
     base = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vec array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, qvec array<float>")
