@@ -14,7 +14,8 @@ row a shard.
 
 Defined results: null and empty texts have only the end id; rows that repeat a
 doc_id stand next to each other; a null doc_id sorts first; an empty table has
-no shard. The strings of special tokens are ordinary text.
+no shard. The strings of the file's added tokens are those tokens, as in the
+library by its default settings.
 """
 
 from __future__ import annotations
@@ -50,12 +51,24 @@ def _byte_letters() -> dict[int, str]:
 
 
 class LibraryEncoder:
-    """Whole texts by the tokenizers library: its model encodes each pre-token that the memo lacks."""
+    """Whole texts by the tokenizers library: its model encodes each pre-token that the memo lacks.
+
+    A text that holds the string of an added token goes to the library as a whole.
+    """
 
     def __init__(self, definition: str, pattern: str):
-        self.model = tokenizers.Tokenizer.from_str(definition).model
+        self.library = tokenizers.Tokenizer.from_str(definition)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model = self.library.model
         self.letters = _byte_letters()
-        self.encode = Encoder(pattern, self._token).encode
+        self.plain = Encoder(pattern, self._token).encode
+
+    def encode(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return self.plain(text)
 
     def _token(self, pre_token: str) -> bytes:
         mapped = pre_token.encode().decode("latin-1").translate(self.letters)

@@ -210,6 +210,20 @@ def test_token_files(spark, docs, texts):
     assert token_files.write(docs.limit(0), path, public_tokenizers.PATTERN).shards == []
 
 
+def test_token_files_know_added_tokens(spark):
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rows = [(1, "abc <|endoftext|> def"), (2, "plain text"), (3, "<|endoftext|>"), (4, "x<|endoftext|><|endoftext|>\n é日本"), (5, "<|endoftext| >")]
+    got, start = by_id(token_files.read(spark, token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), path, public_tokenizers.PATTERN))), 0
+    for i, t in rows:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        assert (50256 in ids) == (i in (1, 3, 4))
+        assert tuple(got[i]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_line_dedup(docs, texts):
     first, got = {}, {r["doc_id"]: r for r in line_dedup.apply(docs).collect()}
     spans = lambda l: [k for k in range(len(l) - 2) if any(x.strip() for x in l[k : k + 3])]
