@@ -11,7 +11,9 @@ a host's pages are concatenated, a suffix array shows token strings of at least
 ``REPEAT`` tokens that stand on two distinct pages, what they cover is removed
 as boilerplate, and the unique runs are kept. A host with many pages is dealt
 to cells of about ``CELL`` pages by a hash of the page, so that no task gathers
-a whole host; boilerplate stands on the pages of every cell.
+a whole host; 128-bit hashes of the strings, with the least and the greatest
+page over all cells, tell each cell which of its strings stand on two pages of
+the host.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed, empty ones go, and the others are joined by \\n.
@@ -19,12 +21,13 @@ space, blocks are trimmed, empty ones go, and the others are joined by \\n.
 Defined results: null and empty html give an empty text; unclosed elements end
 with their parents; a null url is the host ''. Pages with equal html on one host
 and without an article element cover each other and give empty texts (their
-own structure doesn't tell what is main); a page alone in its cell keeps its
-blocks. Rows that repeat a page_id are one page.
+own structure doesn't tell what is main); a page alone on its host keeps its
+blocks. Rows that repeat a page_id are one page, and so are those without one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -164,11 +167,49 @@ def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def unique_runs(pages: list[list[str]], repeat: int = REPEAT) -> list[list[str]]:
-    """The blocks of each page without the tokens that strings repeated on distinct pages cover."""
+class Hashes:
+    """128-bit hashes of the strings of ``repeat`` tokens of a page, as two columns of 64 bits."""
+
+    FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+    def __init__(self, repeat: int = REPEAT):
+        self.repeat, self.words = repeat, {}
+
+    def _word(self, word: str) -> tuple[int, int]:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= 500_000:
+                self.words.clear()
+            digest = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            found = self.words[word] = int.from_bytes(digest[:8], "big"), int.from_bytes(digest[8:], "big")
+        return found
+
+    def of(self, words: list[str]) -> np.ndarray:
+        n = len(words) - self.repeat + 1
+        if n <= 0:
+            return np.zeros((0, 2), np.int64)
+        each = np.array([self._word(w) for w in words], np.uint64)
+        out = np.zeros((n, 2), np.uint64)
+        for k in range(self.repeat):
+            out = out * self.FACTORS + each[k : k + n]
+        return out.view(np.int64)
+
+
+def unique_runs(pages: list[list[str]], repeat: int = REPEAT, ids: list | None = None, across: set[tuple[int, int]] | None = None) -> list[list[str]]:
+    """The blocks of each page without the tokens that strings repeated on distinct pages cover.
+
+    Rows with equal ``ids`` are one page; ``across`` has the hashes of strings that stand on two pages elsewhere.
+    """
+    first: dict = {}
+    same_page = [first.setdefault(i, p) for p, i in enumerate(ids)] if ids else list(range(len(pages)))
+    known = Hashes(repeat)
     number: dict[str, int] = {}
     stream, page_of, block_of, words = [], [], [], []
+    spread: list[int] = []
     for p, own in enumerate(pages):
+        if across:
+            hashes = known.of([w for block in own for w in block.split()]).tolist()
+            spread += [len(stream) + k for k, h in enumerate(hashes) if tuple(h) in across]
         for b, block in enumerate(own):
             for word in block.split():
                 stream.append(number.setdefault(word, len(number)))
@@ -192,9 +233,10 @@ def unique_runs(pages: list[list[str]], repeat: int = REPEAT) -> list[list[str]]
         group = np.concatenate(([0], np.cumsum(~same)))
         low = np.full(group[-1] + 1, n)
         high = np.full(group[-1] + 1, -1)
-        np.minimum.at(low, group, page[order])
-        np.maximum.at(high, group, page[order])
-        starts = order[(low < high)[group]]
+        one = np.array(same_page, np.int64)[page[order]]
+        np.minimum.at(low, group, one)
+        np.maximum.at(high, group, one)
+        starts = np.concatenate((order[(low < high)[group]], np.array(spread, np.int64)))
         edge = np.zeros(n + 1, np.int64)
         np.add.at(edge, starts, 1)
         np.add.at(edge, np.minimum(starts + repeat, n), -1)
@@ -209,24 +251,50 @@ def unique_runs(pages: list[list[str]], repeat: int = REPEAT) -> list[list[str]]
     return out
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct hashes of each page's strings."""
+    schema = pa.schema([("host", pa.string()), ("cell", pa.int64()), ("page_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    known = Hashes()
+    for host, cell, page, html in common.rows(batches):
+        found = np.unique(known.of([w for block in blocks(html, False) for w in block.split()]), axis=0)
+        for at in range(0, len(found), 1 << 16):
+            part = found[at : at + (1 << 16)]
+            n = len(part)
+            columns = [pa.array([host] * n, pa.string()), pa.array([cell] * n, pa.int64()), pa.array([page] * n, pa.int64()), pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _across(dealt: DataFrame) -> DataFrame:
+    """(host, cell, a, b): the strings of a cell that stand on two pages of its host, for hosts of several cells."""
+    found = dealt.where("cells > 1").select("host", "cell", "page_id", "html").mapInArrow(_strings, "host string, cell long, page_id long, a long, b long")
+    least = F.min("page_id") < F.max("page_id")
+    nameless = F.max(F.col("page_id").isNull()) & F.max(F.col("page_id").isNotNull())
+    each = found.groupBy("host", "a", "b").agg((F.coalesce(least, F.lit(False)) | nameless).alias("twice"), F.collect_set("cell").alias("at"))
+    return each.where("twice").select("host", F.explode("at").alias("cell"), "a", "b")
+
+
 def _by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     sink = common.Sink(schema)
 
-    def settle(group: list[tuple]) -> None:
-        for (page, url, _), kept in zip(group, unique_runs([g[2] for g in group])):
+    def settle(group: list[tuple], across: set) -> None:
+        for (page, url, _), kept in zip(group, unique_runs([g[2] for g in group], ids=[g[0] for g in group], across=across)):
             sink.add((page, url, "\n".join(kept)))
 
-    group, last = [], None
-    for host, cell, page, url, html in common.rows(batches):
-        if (host, cell) != last and group:
-            settle(group)
-            yield sink.flush()
-            group = []
+    group, across, last = [], set(), None
+    for host, cell, is_page, page, url, html, a, b in common.rows(batches):
+        if (host, cell) != last:
+            if group:
+                settle(group, across)
+                yield sink.flush()
+            group, across = [], set()
         last = (host, cell)
-        group.append((page, url, blocks(html, False)))
+        if is_page:
+            group.append((page, url, blocks(html, False)))
+        else:
+            across.add((a, b))
     if group:
-        settle(group)
+        settle(group, across)
     yield sink.flush()
 
 
@@ -241,9 +309,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     named = F.col("html").rlike(r"(?i)<(article|main)[\s>]")
     by_article = source.where(named).mapInArrow(_articles, _OUT)
-    rest = source.where(~named).withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")))
+    rest = source.where(~named)
+    rest = rest.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")))
     sizes = rest.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
     dealt = rest.join(sizes, "host").withColumn("cell", F.pmod(F.xxhash64("page_id", "url"), F.col("cells")))
-    dealt = dealt.repartition("host", "cell").sortWithinPartitions("host", "cell", "page_id", "url")
-    by_host = dealt.select("host", "cell", "page_id", "url", "html").mapInArrow(_by_host, _OUT)
-    return by_article.unionByName(by_host)
+    none = F.lit(None)
+    rows = dealt.select("host", "cell", F.lit(True).alias("is_page"), "page_id", "url", "html", none.cast("long").alias("a"), none.cast("long").alias("b"))
+    strings = _across(dealt).select("host", "cell", F.lit(False).alias("is_page"), none.cast("long").alias("page_id"), none.cast("string").alias("url"), none.cast("string").alias("html"), "a", "b")
+    cells = rows.unionByName(strings).repartition("host", "cell").sortWithinPartitions("host", "cell", "is_page", "page_id", "url")
+    return by_article.unionByName(cells.mapInArrow(_by_host, _OUT))

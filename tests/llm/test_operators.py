@@ -184,6 +184,23 @@ def test_html(spark):
     assert html_text.unique_runs([["a b c d e f g h i"], ["x a b c d e f g h y"]]) == [["i"], ["x y"]]
 
 
+def test_html_repeats_across_cells(spark, monkeypatch):
+    notice = "this notice of eight words stands on two pages"
+    own = lambda i: " ".join(f"p{i}w{k}" for k in range(12))
+    rows = [(i, f"http://h/{i}", f"<div>{own(i)}</div><p>{notice if i % 20 == 3 else f'only p{i}'}</p>") for i in range(40)] + [(None, "http://h/x", f"<p>{own(5)}")]
+    rows += [(7, "http://h/7", rows[7][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    results = []
+    for cell in (html_text.CELL, 4, 1):
+        monkeypatch.setattr(html_text, "CELL", cell)
+        results.append(sorted((tuple(r) for r in html_text.extract(pages).collect()), key=str))
+    assert results[0] == results[1] == results[2]
+    got = {(i, u): t for i, u, t in results[0]}
+    for i in range(40):
+        assert got[i, f"http://h/{i}"] == {3: own(3), 23: own(23), 5: "only p5"}.get(i, f"{own(i)}\nonly p{i}")
+    assert got[None, "http://h/x"] == "" and len(results[0]) == 42
+
+
 def test_token_files(spark, docs, texts):
     import tokenizers
 
