@@ -6,6 +6,9 @@ adverts, forms, scripts, styles and reader comments hold. Removing by repetition
 would be wrong there: an article that two pages of a host carry is no boilerplate,
 and a menu that only one page has is.
 
+An element counts when the parser opens it: one in a comment or a script names
+nothing.
+
 Pages without such an element go by the host suffix array: the token streams of
 a host's pages are concatenated, a suffix array shows token strings of at least
 ``REPEAT`` tokens that stand on two distinct pages, what they cover is removed
@@ -60,6 +63,7 @@ _SKIP_WORDS = (
     "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 )
 
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in _RAW}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
     re.S,
@@ -82,6 +86,24 @@ def _skipped(name: str, attributes: str) -> bool:
     return re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None if attributes else False
 
 
+def opens_main(html: str) -> bool:
+    """Whether the parser opens an article or main element, outside comments and raw elements."""
+    at, end = 0, len(html)
+    while at < end:
+        m = _TOKEN.match(html, at)
+        at = m.end()
+        name = m.group(2)
+        if name is None or m.group(1):
+            continue
+        name = name.lower()
+        if name in _RAW:
+            stop = _RAW_END[name].search(html, at)
+            at = stop.end() if stop else end
+        elif name in _MAIN and not m.group(3).endswith("/"):
+            return True
+    return False
+
+
 def blocks(html: str, within_main: bool) -> list[str]:
     """The blocks of the page, or only those inside article or main elements."""
     out: list[str] = []
@@ -146,12 +168,19 @@ def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     sink = common.Sink(schema)
     for page, url, html in common.rows(batches):
+        if not opens_main(html):
+            continue
         text = "\n".join(blocks(html, True))
         if sink.add((page, url, text), 64 + len(text)):
             yield sink.flush()
     yield sink.flush()
 
 
+def _without_main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([not opens_main(html) for html in batch.column(2).to_pylist()], pa.bool_()))
+
+
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` tokens at least, by doubling."""
     n = len(tokens)
@@ -307,9 +336,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     source = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
     )
-    named = F.col("html").rlike(r"(?i)<(article|main)[\s>]")
+    # what can't have the element needn't be parsed for it
+    named = F.col("html").rlike(r"(?i)<(article|main)")
     by_article = source.where(named).mapInArrow(_articles, _OUT)
-    rest = source.where(~named)
+    rest = source.where(~named).unionByName(source.where(named).mapInArrow(_without_main, "page_id long, url string, html string"))
     rest = rest.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")))
     sizes = rest.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
     dealt = rest.join(sizes, "host").withColumn("cell", F.pmod(F.xxhash64("page_id", "url"), F.col("cells")))

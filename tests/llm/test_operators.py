@@ -201,6 +201,15 @@ def test_html_repeats_across_cells(spark, monkeypatch):
     assert got[None, "http://h/x"] == "" and len(results[0]) == 42
 
 
+def test_html_route_is_by_parsed_elements(spark):
+    rows = [
+        (1, "http://a/", "<!-- <article> --><p>whole page one</p>"), (2, "http://b/", "<script>'<main>'</script><p>whole page two</p>"),
+        (3, "http://c/", "<!-- <main> --><p>menu</p><ARTICLE\n>three</article>"), (4, "http://d/", "<img alt='<article>'><p>four"),
+    ]
+    got = by_id(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert [got[i]["text"] for i in (1, 2, 3, 4)] == ["whole page one", "whole page two", "three", "four"]
+
+
 def test_token_files(spark, docs, texts):
     import tokenizers
 
