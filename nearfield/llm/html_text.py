@@ -7,7 +7,9 @@ would be wrong there: an article that two pages of a host carry is no boilerplat
 and a menu that only one page has is.
 
 An element counts when the parser opens it: one in a comment or a script names
-nothing.
+nothing. Class and id words count as whole names, and not on html, body and what
+an article or main element stands in; inside an article (and for reader comments
+inside main) they count even so, since an article in an article is a comment.
 
 Pages without such an element go by the host suffix array: the token streams of
 a host's pages are concatenated, a suffix array shows token strings of at least
@@ -69,23 +71,28 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORDS = re.compile(r"[A-Za-z]+")
+_COMMENTS = ("comment", "comments", "disqus")
 _CLOSES_P = frozenset(_BLOCK) - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 
-def _skipped(name: str, attributes: str) -> bool:
+def _dropped(name: str, attributes: str) -> bool:
+    """By its element, its role or its being hidden."""
     if name in _SKIP:
         return True
     for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
-        value = "".join(values).lower()
-        if key.lower() == "role":
-            if value in _SKIP_ROLES:
-                return True
-        elif name not in _MAIN and any(w in _SKIP_WORDS for w in _WORDS.findall(value)):
+        if key.lower() == "role" and "".join(values).lower() in _SKIP_ROLES:
             return True
     return re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None if attributes else False
 
 
+def _named(name: str, attributes: str, within: bool) -> set[str]:
+    """Its class and id names that are of boilerplate; a header inside the main element is a heading."""
+    if not attributes or name in _MAIN or name in ("html", "body"):
+        return set()
+    names = {w for key, *values in _ATTRIBUTE.findall(attributes) if key.lower() != "role" for w in "".join(values).lower().split()}
+    return names.intersection(_SKIP_WORDS) - ({"header"} if within else set())
+
+
 def opens_main(html: str) -> bool:
     """Whether the parser opens an article or main element, outside comments and raw elements."""
     at, end = 0, len(html)
@@ -108,7 +115,8 @@ def blocks(html: str, within_main: bool) -> list[str]:
     """The blocks of the page, or only those inside article or main elements."""
     out: list[str] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, skipped here or above, main here or above
+    # name, skipped here or above, main here or above, whether the skip is only by names that an article below undoes
+    stack: list[tuple[str, bool, bool, bool]] = []
 
     def close() -> None:
         if held:
@@ -126,7 +134,7 @@ def blocks(html: str, within_main: bool) -> list[str]:
             text = m.group(0)
             if text.startswith(("<!", "<?")):
                 continue
-            skip, main = stack[-1][1:] if stack else (False, False)
+            skip, main = stack[-1][1:3] if stack else (False, False)
             if not skip and (main or not within_main):
                 held.append(text)
             continue
@@ -139,7 +147,7 @@ def blocks(html: str, within_main: bool) -> list[str]:
                 del stack[depth:]
             continue
         if name in _RAW:
-            stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+            stop = _RAW_END[name].search(html, at)
             at = stop.end() if stop else end
             continue
         if name in _BLOCK:
@@ -153,13 +161,20 @@ def blocks(html: str, within_main: bool) -> list[str]:
             held.append(" ")
         if name in _VOID or m.group(3).endswith("/"):
             continue
-        skip, main = stack[-1][1:] if stack else (False, False)
-        main = main or name in _MAIN or 'role="main"' in m.group(3)
+        skip, above, loose = stack[-1][1:] if stack else (False, False, False)
+        if name in _MAIN and loose:
+            skip = False
+        main = above or name in _MAIN or 'role="main"' in m.group(3)
         # a header inside the article is its heading
-        own = _skipped(name, m.group(3)) and not (name == "header" and main)
-        if own and not skip:
+        dropped = _dropped(name, m.group(3)) and not (name == "header" and main)
+        names = _named(name, m.group(3), main)
+        if (dropped or names) and not skip:
             close()
-        stack.append((name, skip or own, main))
+        if dropped or names and (names.intersection(_COMMENTS) and above or any(s[0] == "article" for s in stack)):
+            loose = False
+        elif names:
+            loose = loose or not skip
+        stack.append((name, skip or dropped or bool(names), main, loose and (skip or bool(names))))
     close()
     return out
 

@@ -210,6 +210,17 @@ def test_html_route_is_by_parsed_elements(spark):
     assert [got[i]["text"] for i in (1, 2, 3, 4)] == ["whole page one", "whole page two", "three", "four"]
 
 
+def test_html_class_names():
+    main = lambda html: html_text.blocks(html, True)
+    assert main('<html class="widget"><body class="has-sidebar sidebar"><article><p>a</p></article></body>') == ["a"]
+    assert main('<div id="page" class="sidebar-right"><div class="notice"><main><p>a</p></main></div></div>') == ["a"]
+    assert main('<article><div class="entry-header"><h1>title</h1></div><div class="header"><h2>sub</h2></div><p>a</p></article>') == ["title", "sub", "a"]
+    assert main('<article><p>a</p><div class="x ad">buy</div><div id="comments"><article>reader</article></div></article>') == ["a"]
+    assert main('<main><article>a</article><ol class="comments"><li><article>reader</article></ol></main>') == ["a"]
+    assert main('<aside class="ad"><article>no</article></aside><article>a</article>') == ["a"]
+    assert html_text.blocks('<body class="ad"><p>a</p><div class="sidebar">b</div><div class="sidebar-left">c</div>', False) == ["a", "c"]
+
+
 def test_token_files(spark, docs, texts):
     import tokenizers
 
