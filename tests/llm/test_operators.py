@@ -369,6 +369,32 @@ def test_pseudonyms():
     assert pii.Pseudonymizer(b"another key, longer").replace(text)[0] != new
 
 
+@pytest.mark.parametrize(
+    "text, value, kind",
+    [
+        ("4111 1111 1111 1111 12/25", "4111 1111 1111 1111", "card"),
+        ("4111111111111111 4.", "4111111111111111", "card"),
+        ("no 12 4111 1111 1111 1111.", "4111 1111 1111 1111", "card"),
+        ("BE68 5390 0754 7034 PAID", "BE68 5390 0754 7034", "iban"),
+        ("BE68539007547034 IN", "BE68539007547034", "iban"),
+        ("on 12/25/2024,", "12/25/2024", "date"),
+    ],
+)
+def test_pseudonyms_beside_other_characters(text, value, kind):
+    p = pii.Pseudonymizer(b"0123456789abcdef")
+    new, kinds = p.replace(text)
+    alone = p.replace(value)[0]
+    assert kinds == [kind] and alone != value and new == text.replace(value, alone) and p.replace(alone, back=True)[0] == value
+
+
+def test_dates_with_the_day_in_the_middle_stay_so():
+    p = pii.Pseudonymizer(b"0123456789abcdef")
+    for day in range(13, 32):
+        new, kinds = p.replace(f"12/{day}/2024")
+        assert kinds == ["date"] and int(new[3:5]) > 12 and p.replace(new, back=True)[0] == f"12/{day}/2024"
+    assert p.replace("13/13/2024 4111 1111 1111 1112 12/25") == ("13/13/2024 4111 1111 1111 1112 12/25", [])
+
+
 def test_pseudonymize_frame(spark):
     rows = [(1, "ip 10.0.0.1"), (2, None), (3, ""), (None, "10.0.0.1 and 10.0.0.1"), (1, "ip 10.0.0.1")]
     got = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), b"0123456789abcdef").collect()
