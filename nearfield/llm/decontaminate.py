@@ -8,8 +8,7 @@ of the original text.
 
 The patterns are read in blocks of at most ``BLOCK_BYTES`` normalised bytes, so
 what is broadcast has a fixed bound; a larger benchmark is scanned in several
-blocks and their hits are joined by document (rows with equal id and text are
-then one row).
+blocks, whose hits are merged by id and text and joined back to all rows.
 
 Defined results: null or empty texts have no words and no hits; items without
 words are never found; items with equal texts are all found; a null item_id is
@@ -24,7 +23,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,8 +31,6 @@ from . import common
 WINDOW = 10
 #: Normalised bytes of the items of one automaton; with some hundred bytes a window it takes a few hundred times as much.
 BLOCK_BYTES = 512 << 10
-#: Blocks at most: each is one scan of the documents.
-MAX_BLOCKS = 64
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -160,27 +157,41 @@ def scan(
     """(doc_id, n_words, n_hit, items, spans); spans are byte offsets in the original text."""
     common.session(docs)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), common.utf8(text_col).alias("b"))
-    blocks = list(_blocks(benchmark, item_col, item_text_col)) if _small(benchmark, item_text_col) else None
-    if blocks is None:
-        raise ValueError(f"the benchmark has over {BLOCK_BYTES * MAX_BLOCKS} bytes; scan it in parts")
-    parts = [_scan_block(source, block, uuid.uuid4().hex) for block in blocks]
+    parts = [_scan_block(source, block, uuid.uuid4().hex) for block in _blocks(benchmark, item_col, item_text_col)]
     if len(parts) == 1:
         return parts[0].drop("th", "runs")
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
     flat = lambda c: F.flatten(F.collect_list(c))
-    hit = F.flatten(F.transform("runs", lambda r: F.sequence(r["from"], r["to"] - 1)))
-    return (
-        merged.groupBy("doc_id", "th")
-        .agg(F.max("n_words").alias("n_words"), flat("items").alias("items"), flat("spans").alias("spans"), flat("runs").alias("runs"))
-        .select("doc_id", "n_words", F.size(F.array_distinct(hit)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), F.array_sort("spans").alias("spans"))
+    # each run of hit words with its bytes; rows with equal id and text bring equal ones
+    runs = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("runs", "spans")))))
+    found = merged.where("n_hit > 0").groupBy("doc_id", "th").agg(flat("items").alias("items"), runs.alias("each"))
+    whole = F.aggregate("each", F.expr(f"CAST(array() AS {_RUNS})"), _join_run)
+    found = found.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.array_sort(F.array_distinct("items")).alias("items"), whole.alias("whole"))
+    # every row, with its number of words: one block's scan has them all
+    rows = parts[0].select("doc_id", "th", "n_words")
+    n_hit = F.aggregate("whole", F.lit(0), lambda n, x: n + x["runs"]["to"] - x["runs"]["from"]).cast("long")
+    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["_doc"]) & (rows["th"] == found["_th"]), "left")
+    return joined.select(
+        "doc_id",
+        "n_words",
+        F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<long>")).alias("items"),
+        F.coalesce(F.col("whole.spans"), F.array().cast("array<struct<from:int,to:int>>")).alias("spans"),
     )
 
 
-def _small(benchmark: DataFrame, text_col: str) -> bool:
-    size = benchmark.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    return size <= BLOCK_BYTES * MAX_BLOCKS
+_RUNS = "array<struct<runs:struct<from:int,to:int>,spans:struct<from:int,to:int>>>"
+
+
+def _join_run(done: Column, x: Column) -> Column:
+    """Adds a run, in the order of their starts, to the last one where they overlap or touch."""
+    last = F.try_element_at(done, F.lit(-1))
+    span = lambda name: F.struct(last[name]["from"].alias("from"), F.greatest(last[name]["to"], x[name]["to"]).alias("to"))
+    wider = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(span("runs").alias("runs"), span("spans").alias("spans"))))
+    touches = (F.size(done) > 0) & (x["runs"]["from"] <= last["runs"]["to"])
+    return F.when(touches, wider).otherwise(F.concat(done, F.array(x)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -169,6 +169,24 @@ def test_decontaminate(spark, docs, texts):
         assert total > 20
 
 
+def test_decontaminate_is_the_same_for_any_number_of_blocks(spark, monkeypatch):
+    word = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(word[i : i + 12])) for i in range(0, 24, 4)] + [(90 + i, f"other item {i}") for i in range(70)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    text = "a  " + ", ".join(word) + " b other  ITEM 3 c"
+    rows = [(1, text), (1, text), (1, "else"), (1, "else"), (2, text), (None, text), (None, text), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = []
+    for limit in (decontaminate.BLOCK_BYTES, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        scanned.append(sorted(decontaminate.scan(docs, bench).collect(), key=str))
+    assert scanned[0] == scanned[1] and len(scanned[0]) == len(rows)
+    assert max(len(r["spans"]) for r in scanned[0]) == 2
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 16)
+    assert len(list(decontaminate._blocks(bench, "item_id", "text"))) > 64
+    assert decontaminate.scan(docs, bench).columns == ["doc_id", "n_words", "n_hit", "items", "spans"]
+
+
 def test_html(spark):
     page = (
         "<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t='</p><article>';</script></head><body><nav><ul><li>menu</ul></nav>"
