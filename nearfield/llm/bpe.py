@@ -19,6 +19,7 @@ no bytes.
 from __future__ import annotations
 
 import base64
+import os
 import sys
 from array import array
 from collections.abc import Iterator
@@ -31,25 +32,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .chunks import Encoder
-
-#: Ids are kept in 16 bits while encoding, and vocabularies are broadcast: a file with more tokens is refused.
-MAX_TOKENS = 1 << 16
-if sys.byteorder != "little" or array("H").itemsize != 2:
-    raise ImportError("ids are kept as little-endian 16-bit numbers")
+from .chunks import Encoder, grouped
+
+#: Bytes of a rank file, whose tables are broadcast, at most.
+MAX_FILE = 32 << 20
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian 32-bit numbers")
+#: Ids that are decoded at once.
+_STEP = 4 << 20
 #: Keys a bucket has on average.
 _PER_BUCKET = 2
 
 
 def read_ranks(path: str) -> list[bytes]:
     """Tokens by rank, from lines of base64 and rank."""
+    if os.path.getsize(path) > MAX_FILE:
+        raise ValueError(f"{path} has over {MAX_FILE} bytes")
     tokens: dict[int, bytes] = {}
     with open(path, "rb") as lines:
         for line in lines:
             token, rank = line.split()
             tokens[int(rank)] = base64.b64decode(token)
-            if len(tokens) > MAX_TOKENS:
-                raise ValueError(f"{path} has over {MAX_TOKENS} tokens")
     if sorted(tokens) != list(range(len(tokens))):
         raise ValueError(f"{path}: ranks must be 0 to n - 1")
     return [tokens[i] for i in range(len(tokens))]
@@ -107,7 +110,7 @@ class _Pairs(dict):
         self.table, self.tokens, self.limit = table, tokens, limit
 
     def __missing__(self, key: int) -> int:
-        rank = self.table.get(self.tokens[key >> 16] + self.tokens[key & 0xFFFF])
+        rank = self.table.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF])
         if len(self) >= self.limit:
             self.clear()
         self[key] = rank
@@ -132,7 +135,7 @@ class Tokenizer:
     def prepare(self) -> None:
         self.pair = _Pairs(self.table, self.tokens)
         self.byte = [self.table.get(bytes([b])) for b in range(256)]
-        self.encoder = Encoder(self.pattern, self.token)
+        self.encoder, self.bytes = Encoder(self.pattern, self.token), None
 
     def merge(self, raw: bytes) -> list[int]:
         """Heap over linked bytes. An entry is rank and place; it holds if the pair at the place still has the rank."""
@@ -141,7 +144,7 @@ class Tokenizer:
         n = len(ids)
         ids.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n))
-        ranks = [pair[a << 16 | b] for a, b in zip(ids, ids[1:n])]  # of the pair that starts at a place
+        ranks = [pair[a << 32 | b] for a, b in zip(ids, ids[1:n])]  # of the pair that starts at a place
         heap = [r << 32 | i for i, r in enumerate(ranks) if r >= 0]
         ranks.append(-1)
         heapify(heap)
@@ -156,12 +159,12 @@ class Tokenizer:
             ranks[i] = ranks[j] = -1
             before[k] = i
             if k < n:
-                s = ranks[i] = pair[rank << 16 | ids[k]]
+                s = ranks[i] = pair[rank << 32 | ids[k]]
                 if s >= 0:
                     heappush(heap, s << 32 | i)
             h = before[i]
             if h >= 0:
-                s = ranks[h] = pair[ids[h] << 16 | rank]
+                s = ranks[h] = pair[ids[h] << 32 | rank]
                 if s >= 0:
                     heappush(heap, s << 32 | h)
         return [x for x in ids if x >= 0]
@@ -169,14 +172,31 @@ class Tokenizer:
     def token(self, pre_token: str) -> bytes:
         raw = pre_token.encode()
         whole = self.table.get(raw)
-        return array("H", [whole] if whole >= 0 else self.merge(raw)).tobytes()
+        return array("I", [whole] if whole >= 0 else self.merge(raw)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.encoder.encode(text), "<u2")
+        return self.encoder.encode(text)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode_all(self, lists: pa.ListArray) -> Iterator[pa.BinaryArray]:
+        """The bytes of each list of ids, some lists at a time: tokens are gathered, and their bytes stand in a row."""
+        if self.bytes is None:
+            self.bytes = pa.array(self.tokens, pa.large_binary())
+        bounds = lists.offsets.to_numpy()
+        at = 0
+        while at < len(lists):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _STEP, "right")) - 1)
+            part = self.bytes.take(lists.values[bounds[at] : bounds[to]])
+            if part.null_count:
+                raise ValueError("an id is null")
+            _, places, data = part.buffers()
+            ends = np.frombuffer(places, np.int64, len(part) + 1, 8 * part.offset) if len(part) else np.zeros(1, np.int64)
+            offsets = ends[bounds[at : to + 1] - bounds[at]]
+            yield pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(np.ascontiguousarray(offsets)), data]).cast(pa.binary())
+            at = to
+
 
 def load(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(read_ranks(path), pattern)
@@ -185,7 +205,7 @@ def load(path: str, pattern: str) -> Tokenizer:
 def _ids(parts: list[np.ndarray]) -> pa.Array:
     """A list of 32-bit ids for each part, without a Python object for each id."""
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-    values = np.concatenate(parts) if parts else np.zeros(0, "<u2")
+    values = np.concatenate(parts) if parts else np.zeros(0, "<u4")
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32)))
 
 
@@ -195,16 +215,14 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            names, parts, size = [], [], 0
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                names.append(doc.as_py())
-                parts.append(own.encode(text.as_py() or ""))
-                size += len(parts[-1])
-                if size > 2 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _ids(parts)], names=["doc_id", "ids"])
-                    names, parts, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _ids(parts)], names=["doc_id", "ids"])
+        for names, texts in grouped(batches):
+            parts = own.encoder.encode_all(texts)
+            at, size = 0, 0
+            for i, part in enumerate(parts):
+                size += len(part)
+                if size > 2 << 20 or i == len(parts) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at : i + 1], pa.int64()), _ids(parts[at : i + 1])], names=["doc_id", "ids"])
+                    at, size = i + 1, 0
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -216,8 +234,10 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            done = [own.decode(ids.values.to_numpy().tolist()) if ids.is_valid else b"" for ids in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.binary())], names=["doc_id", "ids", "decoded"])
+            names, lists, at = batch.column(0), batch.column(1), 0
+            for done in own.decode_all(lists):
+                yield pa.RecordBatch.from_arrays([names[at : at + len(done)], lists[at : at + len(done)], done], names=["doc_id", "ids", "decoded"])
+                at += len(done)
 
     source = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     return source.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

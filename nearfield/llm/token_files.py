@@ -20,9 +20,11 @@ library by its default settings.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .chunks import Encoder
+from .chunks import Encoder, grouped
 
 LENGTH, ROWS = 1024, 64
 END = 0
@@ -53,7 +55,8 @@ def _byte_letters() -> dict[int, str]:
 class LibraryEncoder:
     """Whole texts by the tokenizers library: its model encodes each pre-token that the memo lacks.
 
-    A text that holds the string of an added token goes to the library as a whole.
+    A text that holds the string of an added token goes to the library as a
+    whole, and so do all texts of a file that isn't plain byte-level BPE.
     """
 
     def __init__(self, definition: str, pattern: str):
@@ -63,16 +66,28 @@ class LibraryEncoder:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         self.letters = _byte_letters()
-        self.plain = Encoder(pattern, self._token).encode
-
-    def encode(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        return self.plain(text)
+        said = json.loads(definition)
+        before = said["pre_tokenizer"] or {}
+        self.spread = (
+            said["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+            and not before.get("add_prefix_space") and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
+        )
+        self.pieces = Encoder(pattern, self._token)
+        self.bits = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if not self.spread or any(a in t for a in self.added)]
+        out = self.pieces.encode_all([t for i, t in enumerate(texts) if i not in set(whole)] if whole else texts)
+        for i in whole:
+            out.insert(i, np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4"))
+        return out
 
     def _token(self, pre_token: str) -> bytes:
-        mapped = pre_token.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
+        if pre_token.isascii() and pre_token.isprintable():
+            mapped = pre_token.replace(" ", self.letters[32])
+        else:
+            mapped = pre_token.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
 
 _encoders: dict[int, LibraryEncoder] = {}
@@ -86,21 +101,22 @@ def _encoder(definition: str, pattern: str) -> LibraryEncoder:
     return _encoders[key]
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
+def _schema(length: int, bits: np.dtype) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(bits), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class ShardWriter:
-    def __init__(self, root: str, shard: int, attempt: str, length: int = LENGTH, rows: int = ROWS):
+    def __init__(self, root: str, shard: int, attempt: str, bits: np.dtype, length: int = LENGTH, rows: int = ROWS):
         self.fs, path = pa.fs.FileSystem.from_uri(root)
         self.names = {k: f"{path}/shard-{shard:06d}{k}.arrow" for k in ("", ".index")}
         self.temp = {k: f"{path}/.{attempt}{k}" for k in self.names}
         self.streams = {k: self.fs.open_output_stream(t) for k, t in self.temp.items()}
-        self.length, self.rows = length, rows
-        self.tokens = pa.ipc.new_file(self.streams[""], _schema(length))
+        self.length, self.rows, self.bits = length, rows, bits
+        self.schema = _schema(length, bits)
+        self.tokens = pa.ipc.new_file(self.streams[""], self.schema)
         self.index = pa.ipc.new_file(self.streams[".index"], _INDEX)
         self.held, self.n_held, self.total, self.docs = [], 0, 0, []
 
@@ -115,7 +131,7 @@ class ShardWriter:
             self._flush_index()
 
     def _flush(self, last: bool) -> None:
-        ids = np.concatenate(self.held) if self.held else np.zeros(0, "<u2")
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, self.bits)
         batch = self.length * self.rows
         whole = len(ids) // batch * batch
         for at in range(0, whole, batch):
@@ -123,14 +139,14 @@ class ShardWriter:
         rest = ids[whole:]
         if last and len(rest):
             n = -(-len(rest) // self.length) * self.length
-            self._write(np.concatenate((rest, np.zeros(n - len(rest), "<u2"))), len(rest))
+            self._write(np.concatenate((rest, np.zeros(n - len(rest), self.bits))), len(rest))
             rest = rest[:0]
         self.held, self.n_held = [rest.copy()], len(rest)
 
     def _write(self, ids: np.ndarray, real: int) -> None:
         mask = np.arange(len(ids)) < real
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids.astype("<u2"), mask)]
-        self.tokens.write_batch(pa.RecordBatch.from_arrays(columns, schema=_schema(self.length)))
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids.astype(self.bits), mask)]
+        self.tokens.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def _flush_index(self) -> None:
         columns = [pa.array(c, pa.int64()) for c in zip(*self.docs)]
@@ -212,12 +228,11 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, root: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
         shard, writer = TaskContext.get().partitionId(), None
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                if writer is None:
-                    writer = ShardWriter(root, shard, uuid.uuid4().hex)
-                ids = np.frombuffer(encoder.encode(text.as_py() or ""), "<u2")
-                writer.add(doc.as_py(), np.append(ids, np.array([END], "<u2")))
+        for names, texts in grouped(batches):
+            if writer is None:
+                writer = ShardWriter(root, shard, uuid.uuid4().hex, encoder.bits)
+            for doc, ids in zip(names, encoder.encode_all(texts)):
+                writer.add(doc, np.append(ids, np.uint32(END)).astype(encoder.bits))
         if writer is not None:
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([writer.close()], pa.int64())], names=["shard", "n"])
 

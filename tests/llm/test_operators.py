@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, common, decontaminate, html_text, line_dedup, pii, quality, queries, simhash, substring_dedup, suffix_dedup, token_files, windows
+from nearfield.llm import bpe, chunks, common, decontaminate, html_text, line_dedup, pii, quality, queries, simhash, substring_dedup, suffix_dedup, token_files, windows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)] + ["Größe", "été", "!!", "x"]
@@ -131,6 +131,62 @@ def test_bpe_is_the_library(spark, docs, texts):
         assert own.decode(own.encode(x).tolist()) == x.encode()
 
 
+def test_pieces_keep_all_pre_tokens():
+    import regex
+
+    split, rng = regex.compile(chunks.SPACED).findall, random.Random(3)
+    assert chunks.SPACED == public_tokenizers.PATTERN
+    signs = "ab c\n\t é日 　\xa0\x85 '1,\x1c     à…'sd×÷²Ȁʰ́''rell.😀"
+    for _ in range(5000):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 4))]
+        raw = "".join(texts).encode()
+        sizes = np.array([len(t.encode()) for t in texts])
+        begin = chunks.cuts(np.frombuffer(raw, np.uint8), (np.cumsum(sizes) - sizes)[sizes > 0]) if raw else []
+        pieces = [raw[a:b].decode() for a, b in zip(begin, [*begin[1:], len(raw)])]
+        assert [x for p in pieces for x in split(p)] == [x for t in texts for x in split(t)]
+
+
+def test_encoders_split_long_texts(monkeypatch):
+    """Long texts go in slabs, batches in groups, and other patterns without pieces: the ids are the same."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own, rng = bpe.load(path, public_tokenizers.PATTERN), random.Random(5)
+    texts = ["".join(rng.choice(["word", " other", "  ", "\n", "été ", "x1."]) for _ in range(rng.randint(0, 400))) for _ in range(20)] + ["a" * 3000, " " * 3000, ""]
+    want = [x.tolist() for x in own.encoder.encode_all(texts)]
+    monkeypatch.setattr(chunks, "SLAB", 50)
+    monkeypatch.setattr(chunks, "BYTES", 300)
+    assert [x.tolist() for x in own.encoder.encode_all(texts)] == want
+    own.encoder.by_pieces = False
+    assert [x.tolist() for x in own.encoder.encode_all(texts)] == want
+    monkeypatch.setattr(bpe, "_STEP", 7)
+    lists = bpe._ids([np.array(x, "<u4") for x in want])
+    assert [y.as_py() for part in own.decode_all(lists) for y in part] == [t.encode() for t in texts]
+    with pytest.raises(Exception):
+        list(own.decode_all(bpe._ids([np.array([10**6], "<u4")])))
+
+
+def test_wide_ids(spark, tmp_path):
+    """A vocabulary of over 65536 tokens takes 32 bits in the ranks and in the files."""
+    import json
+
+    letters = token_files._byte_letters()
+    tokens = [bytes([b]) for b in range(256)] + [b"%05x" % i for i in range(70_000)]
+    own = bpe.Tokenizer(tokens, public_tokenizers.PATTERN)
+    assert own.decode(own.encode("11110 1ffff").tolist()) == b"11110 1ffff" and max(own.encode("11111")) < 256 + 70_000
+    vocab = {letters[b]: b for b in range(256)} | {f"t{i}": i for i in range(256, 70_000)} | {"qz": 70_000}
+    said = {
+        "version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "post_processor": None, "decoder": None,
+        "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+        "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "vocab": vocab, "merges": ["q z"]},
+    }
+    path = str(tmp_path / "wide.json")
+    with open(path, "w") as f:
+        json.dump(said, f)
+    written = token_files.write(spark.createDataFrame([(1, "qz q")], "doc_id long, text string"), path, public_tokenizers.PATTERN)
+    file = token_files.Shard(written.root, written.shards[0][0])
+    assert file.sequence(0).dtype == np.uint32 and file.sequence(0)[:4].tolist() == [70_000, 32, ord("q"), 0]
+    assert token_files.read(spark, written).first()["n_tokens"] == 4
+
+
 def test_perfect_hash():
     keys = [bytes([a, b]) for a in range(40) for b in range(40)]
     table = bpe.PerfectHash(keys)
