@@ -1,8 +1,8 @@
 """Exact top-k by inner product or squared L2, as two plans with one answer.
 
-``plan="expr"`` is the relational statement of it (a broadcast of the queries,
-native expressions, a window); ``plan="arrow"`` multiplies matrices of Arrow
-batches and keeps a running top-k in each task.
+``plan="expr"`` is the relational statement of it (native expressions and a
+window over pairs); ``plan="arrow"`` multiplies matrices of Arrow batches and
+keeps a running top-k in each task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from . import scan
 
 
 def validated(df: DataFrame, id_col: str, vec_col: str, names: tuple[str, str] = ("id", "vec")) -> DataFrame:
-    """(id, vec) with vectors of one length and without null or non-finite elements, checked while it is read."""
+    """(id, vec) without null vectors and null or non-finite elements, checked while it is read."""
     vec = F.col(vec_col)
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     checked = F.when(vec.isNull() | bad, F.raise_error(F.lit("a vector has null or non-finite elements"))).otherwise(vec)
@@ -30,40 +30,33 @@ def dimension(base: DataFrame, vec_col: str = "vec") -> int:
     return row["lo"] or 0
 
 
-def pair_distances(base: DataFrame, queries: DataFrame, metric: str = "ip") -> DataFrame:
-    """(qid, id, dist) of every query and base row; queries are broadcast in blocks, the base never."""
-    if queries.limit(scan.QUERY_BLOCK + 1).count() <= scan.QUERY_BLOCK:
-        return _pairs(base, queries, metric)
-    out = None
-    for block in scan.query_blocks(queries):
-        rows = [(int(i), v.tolist()) for i, v in zip(block.ids, block.vectors)]
-        part = _pairs(base, base.sparkSession.createDataFrame(rows, "qid long, qvec array<double>"), metric)
-        out = part if out is None else out.unionByName(part)
-    return out
-
+def with_queries(base: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every base row beside every query of a stated set; queries are broadcast where their checked size allows it."""
+    return base.crossJoin(F.broadcast(queries) if scan.small(queries) else queries)
 
-def _pairs(base: DataFrame, queries: DataFrame, metric: str) -> DataFrame:
-    return base.crossJoin(F.broadcast(queries)).select("qid", "id", vector.distance(F.col("vec"), F.col("qvec"), metric).alias("dist"))
 
+def pair_distances(base: DataFrame, queries: DataFrame, metric: str = "ip") -> DataFrame:
+    """(qid, id, dist) of every query and base row: as many rows as their product, for statements and small sets."""
+    base, queries = validated(base, "id", "vec"), validated(queries, "qid", "qvec", ("qid", "qvec"))
+    return with_queries(base, queries).select("qid", "id", vector.distance(F.col("vec"), F.col("qvec"), metric).alias("dist"))
 
-def _score(metric: str):
-    def of(block: scan.QuerySet):
-        q = block.vectors
 
-        def make():
-            def score(batch):
-                x = scan.matrix(batch["vec"])
-                if x.shape[1] != q.shape[1]:
-                    raise ValueError(f"queries have {q.shape[1]} elements, the base {x.shape[1]}")
-                if metric == "ip":
-                    return 1.0 - q @ x.T
-                return np.stack([((x - v) ** 2).sum(axis=1) for v in q])
+def score(metric: str) -> scan.Prepare:
+    def prepare(q: np.ndarray) -> scan.Score:
+        norms = (q * q).sum(axis=1)
 
-            return score
+        def of(batch):
+            x = scan.matrix(batch.column("vec"))
+            if x.shape[1] != q.shape[1]:
+                raise ValueError(f"queries have {q.shape[1]} elements, the base {x.shape[1]}")
+            products = q @ x.T
+            if metric == "ip":
+                return 1.0 - products, lambda a, b: 1.0 - (q[a] * x[b]).sum(axis=1)
+            return norms[:, None] - 2 * products + (x * x).sum(axis=1), lambda a, b: ((x[b] - q[a]) ** 2).sum(axis=1)
 
-        return make
+        return of
 
-    return of
+    return prepare
 
 
 def exact_topk(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip", plan: str = "arrow", exclude_self: bool = False) -> DataFrame:
@@ -74,12 +67,13 @@ def exact_topk(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
     if plan == "expr":
         pairs = pair_distances(base, queries, metric)
         return scan.rank(pairs.where("qid <> id") if exclude_self else pairs, k)
+    base, queries = base.select("id", "vec"), queries.select("qid", "qvec")
     if not exclude_self:
-        return scan.scan_topk(base, queries, k, _score(metric))
-    return scan.rank(scan.scan_topk(base, queries, k + 1, _score(metric)).where("qid <> id").drop("rank"), k)
+        return scan.scan_topk(base, queries, k, score(metric))
+    return scan.rank(scan.scan_topk(base, queries, k + 1, score(metric)).where("qid <> id").drop("rank"), k)
 
 
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "ip") -> DataFrame:
     """Exact distances of candidates(qid, id, ...), and their top-k; the join sides are sized at run time."""
-    pairs = candidates.select("qid", "id").join(base, "id").join(queries, "qid")
+    pairs = candidates.select("qid", "id").join(base.select("id", "vec"), "id").join(queries, "qid")
     return scan.rank(pairs.select("qid", "id", vector.distance(F.col("vec"), F.col("qvec"), metric).alias("dist")), k)

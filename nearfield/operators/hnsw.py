@@ -4,31 +4,42 @@ Insertion into such a graph is sequential, so the base is dealt to shards of
 about ``shard_rows`` rows by a hash of the id; each shard's graph is built in
 one task, and a search asks every shard and merges (one shard is the classic
 graph). Nodes link to their nearest beam members up to the cap (twice M on the
-ground layer), and back while the neighbour has room, else the farthest goes.
+ground layer, M above), and back while the neighbour has room; where it has
+none, ``full="evict"`` lets its farthest link go, ``full="refuse"`` leaves it:
+then later nodes are often out of reach, and recall falls far below 0.9.
+
+An index is a table of shards, each with its graph as one packed value: built
+once, saved, loaded, and asked often.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
 
-MAX_LEVEL = 20
+#: The greatest level by the logarithm's law, and by coin flips.
+MAX_LEVEL, MAX_FLIPS = 20, 60
+#: Queries that go to a shard together.
+ASKED = 256
 #: Rows of a shard on average: what one task holds and builds.
 SHARD_ROWS = 20_000
 
 
-def levels(base: DataFrame, m: int, seed: int = 0) -> DataFrame:
-    """(id, vec, max_level) with floor(-ln(u) / ln(M)), u from a seeded hash of the id."""
-    u = F.greatest(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52), F.lit(1e-6))
-    return base.select("id", "vec", F.least(F.floor(-F.log(u) / F.lit(math.log(m))), F.lit(MAX_LEVEL)).cast("int").alias("max_level"))
+def levels(base: DataFrame, m: int, seed: int = 0, law: str = "log") -> DataFrame:
+    """(id, vec, max_level), u from a seeded hash of the id: floor(-ln(u) / ln(M)), or the heads before the first tail of a coin."""
+    u = F.greatest(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52), F.lit(1e-6 if law == "log" else 2.0**-52))
+    found = {"log": F.floor(-F.log(u) / F.lit(math.log(max(2, m)))), "coin": F.floor(-F.log2(u))}[law]
+    return base.select("id", "vec", F.least(found, F.lit(MAX_LEVEL if law == "log" else MAX_FLIPS)).cast("int").alias("max_level"))
 
 
 def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -76,7 +87,7 @@ class Graph:
                         heapq.heappop(best)
         return sorted((-d, n) for d, n in best)
 
-    def insert(self, node: int, level: int, m: int, ef: int) -> None:
+    def insert(self, node: int, level: int, m: int, ef: int, full: str = "evict") -> None:
         top = len(self.links) - 1
         while len(self.links) <= level:
             self.links.append({})
@@ -94,11 +105,13 @@ class Graph:
                 continue
             found = self.beam(q, at, layer, ef)
             cap = 2 * m if layer == 0 else m
-            self.links[layer][node] = [n for _, n in found[:m]]
+            self.links[layer][node] = [n for _, n in found[:cap]]
             for n in self.links[layer][node]:
                 back = self.links[layer].setdefault(n, [])
-                back.append(node)
-                if len(back) > cap:
+                if len(back) < cap:
+                    back.append(node)
+                elif full == "evict":
+                    back.append(node)
                     d = self._d(self.x[n], back)
                     del back[int(np.argmax(d))]
             at = found[0][1]
@@ -106,56 +119,102 @@ class Graph:
             self.entry = node
 
 
+    def ask(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
+        at = self.entry
+        for layer in range(len(self.links) - 1, 0, -1):
+            at = self.descend(q, at, layer)
+        return self.beam(q, at, 0, max(ef, k))[:k]
+
+    def pack(self, ids: np.ndarray) -> bytes:
+        out, short = io.BytesIO(), self.x.astype(np.float32)
+        parts = {"ids": ids, "x": short if (short == self.x).all() else self.x, "entry": np.array([self.entry])}
+        for layer, links in enumerate(self.links):
+            parts[f"src{layer}"] = np.array(list(links), np.int32)
+            parts[f"n{layer}"] = np.array([len(v) for v in links.values()], np.int32)
+            parts[f"dst{layer}"] = np.array([n for v in links.values() for n in v], np.int32)
+        np.savez(out, **parts)
+        return out.getvalue()
+
+    @classmethod
+    def unpack(cls, raw: bytes, metric: str) -> tuple[np.ndarray, Graph]:
+        parts = np.load(io.BytesIO(raw), allow_pickle=False)
+        own = cls(parts["x"].astype(np.float64), metric)
+        own.entry = int(parts["entry"][0])
+        layer = 0
+        while f"src{layer}" in parts:
+            near = np.split(parts[f"dst{layer}"], np.cumsum(parts[f"n{layer}"])[:-1])
+            own.links.append({s: v.tolist() for s, v in zip(parts[f"src{layer}"].tolist(), near)})
+            layer += 1
+        return parts["ids"], own
+
+
 _EDGES = "shard long, level int, src long, dst long, pos int, entry long"
 
 
-def build(base: DataFrame, m: int = 16, ef_construction: int = 100, metric: str = "ip", seed: int = 0, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(nodes(shard, id, vec, max_level), edges(shard, level, src, dst, pos, entry))."""
-    scan.check_positive(m=m, ef_construction=ef_construction, shard_rows=shard_rows)
-    shards = max(1, -(-base.count() // shard_rows))
-    nodes = levels(base, max(2, m), seed).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-
-    def make(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("id")
-        ids, graph = b["id"].to_numpy(), Graph(scan.matrix(b["vec"]), metric)
-        for i, level in enumerate(b["max_level"]):
-            graph.insert(i, int(level), m, ef_construction)
-        rows = [
-            (key[0], layer, ids[src], ids[n], pos, ids[graph.entry])
-            for layer, links in enumerate(graph.links)
-            for src, near in links.items()
-            for pos, n in enumerate(near)
-        ]
-        return pd.DataFrame(rows, columns=["shard", "level", "src", "dst", "pos", "entry"])
-
-    return nodes, nodes.groupBy("shard").applyInPandas(make, _EDGES)
-
-
-def _asker(block: scan.QuerySet, k: int, ef: int, metric: str):
-    def ask(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = n.sort_values("id")
-        ids = n["id"].to_numpy()
-        graph, place = Graph(scan.matrix(n["vec"]), metric), {v: i for i, v in enumerate(ids.tolist())}
-        graph.links = [{} for _ in range(int(n["max_level"].max()) + 1)]
-        for level, src, dst in e.sort_values(["level", "src", "pos"])[["level", "src", "dst"]].itertuples(index=False):
-            graph.links[level].setdefault(place[src], []).append(place[dst])
-        entry = place[e["entry"].iloc[0]] if len(e) else 0
-        rows = []
-        for qid, q in zip(block.ids, block.vectors):
-            at = entry
-            for layer in range(len(graph.links) - 1, 0, -1):
-                at = graph.descend(q, at, layer)
-            rows += [(qid, ids[i], d) for d, i in graph.beam(q, at, 0, max(ef, k))[:k]]
-        return pd.DataFrame(rows, columns=["qid", "id", "dist"])
-
-    return ask
-
-
-def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: int, metric: str = "ip") -> DataFrame:
-    """hits: greedy descent to the ground layer, a beam of max(ef, k) there, and the top-k over all shards."""
-    scan.check_positive(k=k, ef=ef)
-    out = None
-    for block in scan.query_blocks(queries):
-        found = scan.rank(nodes.groupBy("shard").cogroup(edges.groupBy("shard")).applyInPandas(_asker(block, k, ef, metric), scan.HITS), k)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else queries.sparkSession.createDataFrame([], "qid long, rank int, id long, dist double")
+class HNSWIndex:
+    """shards(shard, graph binary)."""
+
+    def __init__(self, shards: DataFrame, metric: str):
+        self.shards, self.metric = shards, metric
+
+    @classmethod
+    def build(
+        cls, base: DataFrame, m: int = 16, ef_construction: int = 100, metric: str = "ip", seed: int = 0,
+        shard_rows: int = SHARD_ROWS, law: str = "log", full: str = "evict",
+    ) -> HNSWIndex:
+        scan.check_positive(m=m, ef_construction=ef_construction, shard_rows=shard_rows)
+        if full not in ("evict", "refuse"):
+            raise ValueError(f"full is evict or refuse, not {full}")
+        shards = max(1, -(-base.count() // shard_rows))
+        nodes = levels(base, m, seed, law).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+
+        def make(key: tuple, b: pa.Table) -> pa.Table:
+            b = b.sort_by("id").combine_chunks()
+            graph = Graph(scan.matrix(b.column("vec")), metric)
+            for i, level in enumerate(b.column("max_level").to_pylist()):
+                graph.insert(i, level, m, ef_construction, full)
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "graph": pa.array([graph.pack(b.column("id").to_numpy())], pa.binary())})
+
+        return cls(nodes.groupBy("shard").applyInArrow(make, "shard long, graph binary"), metric)
+
+    def save(self, path: str) -> None:
+        self.shards.write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, metric: str = "ip") -> HNSWIndex:
+        return cls(spark.read.parquet(path), metric)
+
+    def edges(self) -> DataFrame:
+        """(shard, level, src, dst, pos, entry): a row for each link."""
+        metric = self.metric
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for shard, raw in zip(batch["shard"], batch["graph"]):
+                    ids, graph = Graph.unpack(raw, metric)
+                    for layer, links in enumerate(graph.links):
+                        rows = [(shard, layer, ids[src], ids[n], pos, ids[graph.entry]) for src, near in links.items() for pos, n in enumerate(near)]
+                        yield pd.DataFrame(rows, columns=["shard", "level", "src", "dst", "pos", "entry"])
+
+        return self.shards.mapInPandas(run, _EDGES)
+
+    def search(self, queries: DataFrame, k: int, ef: int) -> DataFrame:
+        """hits: greedy descent to the ground layer, a beam of max(ef, k) there, and the top-k over all shards."""
+        scan.check_positive(k=k, ef=ef)
+        metric = self.metric
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, ids, graph = None, None, None
+            for batch in batches:
+                for shard, raw, block in zip(batch.column("shard").to_pylist(), batch.column("graph"), batch.column("block")):
+                    if shard != last:
+                        last, (ids, graph) = shard, Graph.unpack(raw.as_py(), metric)
+                    asked = scan._from_bytes(block.as_py())
+                    rows = [(qid, ids[i], d) for qid, q in zip(asked.column("qid").to_pylist(), scan.matrix(asked.column("qvec"))) for d, i in graph.ask(q, k, ef)]
+                    columns = list(zip(*rows)) or [(), (), ()]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["qid", "id", "dist"])
+
+        blocks = scan.pack(queries.select("qid", "qvec"), ASKED, "block").drop("at")
+        if scan.small(queries):
+            blocks = F.broadcast(blocks)
+        return scan.rank(self.shards.crossJoin(blocks).mapInArrow(ask, scan.HITS), k)

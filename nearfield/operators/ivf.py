@@ -1,20 +1,32 @@
 """Inverted lists: plain, and with product-quantized rows.
 
 A row belongs to the list whose centroid has the greatest inner product with
-it (centroids aren't normalised). Lists are stored partitioned by list_id, and
-a search reads the probed ones only: their numbers are literals in the filter,
-so the reader prunes files. A list that is hot is many files and many tasks.
+it (centroids aren't normalised). An index is a folder: lists partitioned by
+list_id, the centroids, and the codebook if rows are quantized; it is built
+once, saved, loaded and asked often. A query goes to its probed lists: chunks of
+a list meet blocks of the queries that probe it, in a join on list_id. Where the
+queries are few enough to be broadcast, the probed lists are literals in the
+filter as well, so the reader prunes files. A list that is hot is many files,
+many chunks and many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact, kmeans, quantize, scan
 
 
+def _probed(x: np.ndarray, centroids: np.ndarray, nprobe: int) -> np.ndarray:
+    order = np.argsort(1.0 - x @ centroids.T, axis=1, kind="stable")
+    return order[:, : min(nprobe, len(centroids))]
+
+
 class IVFIndex:
     def __init__(self, centroids: np.ndarray, lists: DataFrame | None = None, pq: quantize.ProductQuantizer | None = None):
         self.centroids, self.lists, self.pq = centroids, lists, pq
@@ -33,16 +45,21 @@ class IVFIndex:
         return IVFIndex(self.centroids, pq.transform(self.lists, keep=("list_id",)), pq)
 
     def save(self, path: str) -> None:
-        self.lists.repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("list_id").parquet(path)
+        spark = self.lists.sparkSession
+        self.lists.repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("list_id").parquet(f"{path}/lists")
+        kmeans.centroid_frame(spark, self.centroids).coalesce(1).write.parquet(f"{path}/centroids")
+        if self.pq is not None:
+            self.pq.codebook_frame(spark).coalesce(1).write.parquet(f"{path}/codebook")
 
-    def load(self, spark: SparkSession, path: str) -> IVFIndex:
-        return IVFIndex(self.centroids, spark.read.parquet(path), self.pq)
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, quantized: bool = False) -> IVFIndex:
+        rows = sorted(spark.read.parquet(f"{path}/centroids").collect())  # one row a list
+        pq = quantize.ProductQuantizer.load(spark.read.parquet(f"{path}/codebook")) if quantized else None
+        return cls(np.array([r["cvec"] for r in rows], np.float64), spark.read.parquet(f"{path}/lists"), pq)
 
     def probes_of(self, x: np.ndarray, nprobe: int) -> np.ndarray:
         """The lists of the nprobe centroids of least 1 - ip, ties by list."""
-        dist = 1.0 - x @ self.centroids.T
-        order = np.argsort(dist, axis=1, kind="stable")
-        return order[:, : min(nprobe, len(self.centroids))]
+        return _probed(x, self.centroids, nprobe)
 
     def probes(self, queries: DataFrame, nprobe: int) -> DataFrame:
         """(qid, rank, list_id, dist)."""
@@ -51,25 +68,31 @@ class IVFIndex:
         found = exact.exact_topk(lists, queries, min(nprobe, len(self.centroids)))
         return found.select("qid", "rank", F.col("id").cast("int").alias("list_id"), "dist")
 
+    def dealt(self, queries: DataFrame, nprobe: int) -> DataFrame:
+        """(qid, qvec, list_id): each query once for each list that it probes."""
+
+        centroids = self.centroids
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, scan.BATCH):
+                    b = whole.slice(at, scan.BATCH)
+                    lists = _probed(scan.matrix(b.column("qvec")), centroids, nprobe)
+                    again = b.take(pa.array(np.repeat(np.arange(b.num_rows), lists.shape[1])))
+                    yield pa.RecordBatch.from_arrays([*again.columns, pa.array(lists.ravel().astype(np.int32))], names=["qid", "qvec", "list_id"])
+
+        kind = queries.schema["qvec"].dataType.simpleString()
+        return queries.select("qid", "qvec").mapInArrow(run, f"qid long, qvec {kind}, list_id int")
+
     def _scan(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-        out = None
-        for block in scan.query_blocks(queries):
-            probes = self.probes_of(block.vectors, nprobe)
-            wanted = np.zeros((len(block.ids), len(self.centroids)), bool)
-            np.put_along_axis(wanted, probes, True, axis=1)
-            only = lambda batch, wanted=wanted: wanted[:, batch["list_id"].to_numpy(np.int64)]
-            rows = self.lists.where(F.col("list_id").isin([int(i) for i in np.flatnonzero(wanted.any(axis=0))]))
-            if self.pq is None:
-                q = block.vectors
-
-                def make(q=q, only=only):
-                    return lambda batch: np.where(only(batch), 1.0 - q @ scan.matrix(batch["vec"]).T, np.inf)
-
-            else:
-                make = self.pq.scorer(block, only)
-            found = scan.rank(rows.mapInPandas(scan.local_topk(make, block.ids, k), scan.HITS), k)
-            out = found if out is None else out.unionByName(found)
-        return out if out is not None else queries.sparkSession.createDataFrame([], "qid long, rank int, id long, dist double")
+        asked, lists = self.dealt(queries, nprobe), self.lists
+        few = scan.small(queries, nprobe)
+        if few:
+            wanted = [r[0] for r in asked.select("list_id").distinct().collect()]  # list numbers: not more than centroids
+            lists = lists.where(F.col("list_id").isin(wanted))
+        if self.pq is None:
+            return scan.scan_topk(lists.select("id", "vec", "list_id"), asked, k, exact.score("ip"), "list_id", few)
+        return scan.scan_topk(lists.select("id", "codes", "norm2", "list_id"), asked, k, self.pq.score, "list_id", few)
 
     def search(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
         """hits over the rows of the probed lists."""

@@ -1,9 +1,13 @@
-"""Lloyd's k-means in one or several subspaces.
+"""Lloyd's k-means in one or several subspaces, and its starts.
 
 Centroids are small (their size is checked) and live on the driver between
-rounds; a round broadcasts them, and each task sends one count and one sum a
-centroid that it has rows for, so a round shuffles tasks * k rows. An empty
+rounds; a round broadcasts them, each task sends one count and one sum a
+centroid that it has rows for, and the driver gets one row a centroid. An empty
 cluster keeps its centroid; ties go to the lowest centroid.
+
+k-means++ is inherently sequential: it runs on a bounded sample (``SAMPLE``
+values at most, rows by a seeded hash of their ids; all rows where the base is
+smaller), with a running minimum of distances and a roulette on cumulative sums.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +23,22 @@ from . import scan
 
 #: Doubles of all centroids together.
 MAX_VALUES = 8 << 20
+#: Values of the sample that k-means++ draws its seeds from.
+SAMPLE = 8 << 20
+#: Values of the differences of rows and centroids that are held at once.
+_STEP = 4 << 20
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
     """The centroid of each row: greatest inner product, or least squared L2."""
     if metric == "ip":
         return np.argmax(x @ centroids.T, axis=1)
-    # |x|^2 is the same for all centroids of a row, yet kept: differences of squares would round otherwise
-    return np.argmin(((x[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2), axis=1)
+    out = np.zeros(len(x), np.int64)
+    step = max(1, _STEP // max(1, centroids.size))
+    for at in range(0, len(x), step):
+        # differences first: the expanded square would round otherwise
+        out[at : at + step] = np.argmin(((x[at : at + step, None, :] - centroids[None, :, :]) ** 2).sum(axis=2), axis=1)
+    return out
 
 
 def initial(base: DataFrame, k: int, init: str = "first_k", seed: int = 0) -> np.ndarray:
@@ -41,32 +53,34 @@ def initial(base: DataFrame, k: int, init: str = "first_k", seed: int = 0) -> np
     return np.array([r["vec"] for r in rows], np.float64)
 
 
-def plus_plus(base: DataFrame, k: int, seed: int = 0) -> np.ndarray:
-    """The row of the least id first; then rows with probability as their squared distance to the seeds.
+def sample(base: DataFrame, seed: int = 0) -> np.ndarray:
+    """Vectors by id: all of them, or those that a seeded hash of the id puts first, up to ``SAMPLE`` values."""
+    width = base.select(F.max(F.size("vec"))).first()[0]
+    if not width:
+        raise ValueError("no rows")
+    found = base.select("id", "vec").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(1, SAMPLE // width)).toArrow()
+    return scan.matrix(found.take(np.argsort(found["id"].to_numpy(), kind="stable")).column("vec"))
+
 
-    The draw of each round is the greatest log(u) / weight with u from a seeded
-    hash of the id: a weighted draw without a global running sum.
+def seeds_of(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """k-means++: the first row, then rows drawn with probability as their squared distance to the seeds.
+
+    The draw is the first row whose cumulative sum reaches a random part of the
+    total; where all distances are zero, the first row again.
     """
-    first = base.orderBy("id").limit(1).collect()
-    if not first:
-        raise ValueError("no rows")
-    seeds = [np.array(first[0]["vec"], np.float64)]
-    for i in range(1, k):
-        known = np.stack(seeds)
+    draw = np.random.default_rng(seed)
+    chosen = [0]
+    least = ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        sums = np.cumsum(least)
+        pick = int(np.searchsorted(sums, draw.random() * sums[-1], "right")) if sums[-1] > 0 else 0
+        chosen.append(min(pick, len(x) - 1))
+        least = np.minimum(least, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
 
-        def weigh(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                x = scan.matrix(b["vec"])
-                d = ((x[:, None, :] - known[None]) ** 2).sum(axis=2).min(axis=1) if len(b) else np.zeros(0)
-                yield pd.DataFrame({"id": b["id"], "w": d})
 
-        u = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-        weights = base.mapInPandas(weigh, "id long, w double").where("w > 0")
-        chosen = weights.select("id", (F.log(u) / F.col("w")).alias("s")).orderBy(F.desc("s"), "id").limit(1).collect()
-        if not chosen:
-            break
-        seeds.append(np.array(base.where(F.col("id") == chosen[0]["id"]).first()["vec"], np.float64))
-    return np.stack(seeds)
+def plus_plus(base: DataFrame, k: int, seed: int = 0) -> np.ndarray:
+    return seeds_of(sample(base, seed), k, seed)
 
 
 def lloyd(base: DataFrame, centroids: np.ndarray, rounds: int, metric: str) -> np.ndarray:
@@ -77,25 +91,26 @@ def lloyd(base: DataFrame, centroids: np.ndarray, rounds: int, metric: str) -> n
     for _ in range(rounds):
         now = base.sparkSession.sparkContext.broadcast(centroids)
 
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = now.value
             count, total = np.zeros(parts * k, np.int64), np.zeros((parts * k, width))
-            for whole in batches:
-                for at in range(0, len(whole), scan.BATCH):
-                    x = scan.matrix(whole["vec"].iloc[at : at + scan.BATCH])
+            for batch in batches:
+                for at in range(0, batch.num_rows, scan.BATCH):
+                    x = scan.matrix(batch.column(0).slice(at, scan.BATCH))
                     for m in range(parts):
                         part = x[:, m * width : (m + 1) * width]
                         to = m * k + nearest(part, own[m], metric)
                         np.add.at(count, to, 1)
                         np.add.at(total, to, part)
             used = np.flatnonzero(count)
-            yield pd.DataFrame({"c": used, "n": count[used], "s": list(total[used])})
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used]), scan.list_of(total[used], pa.float64())], names=["c", "n", "s"])
 
-        partial = base.mapInPandas(sums, "c long, n long, s array<double>")
-        per_value = partial.select("c", "n", F.posexplode("s").alias("d", "v")).groupBy("c", "d").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+        partial = base.select("vec").mapInArrow(sums, "c long, n long, s array<double>")
+        whole = partial.groupBy("c").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).alias("s"))
         new = centroids.reshape(parts * k, width).copy()
-        for row in per_value.collect():  # at most MAX_VALUES rows
-            new[row["c"], row["d"]] = row["v"] / row["n"]
+        found = whole.toArrow()  # one row a centroid
+        if found.num_rows:
+            new[found["c"].to_numpy()] = scan.matrix(found["s"]) / found["n"].to_numpy()[:, None]
         centroids = new.reshape(parts, k, width)
         now.unpersist()
     return centroids
@@ -105,11 +120,13 @@ def assign(base: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
     """base(id, vec) with list_id, the nearest centroid."""
     shared = base.sparkSession.sparkContext.broadcast(centroids)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.assign(list_id=nearest(scan.matrix(b["vec"]), shared.value, metric).astype(np.int32) if len(b) else np.zeros(0, np.int32))
+            lists = nearest(scan.matrix(b.column("vec")), shared.value, metric) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(lists.astype(np.int32))], names=["id", "vec", "list_id"])
 
-    return base.select("id", "vec").mapInPandas(run, "id long, vec array<float>, list_id int")
+    kind = base.schema["vec"].dataType.simpleString()
+    return base.select("id", "vec").mapInArrow(run, f"id long, vec {kind}, list_id int")
 
 
 def centroid_frame(spark, centroids: np.ndarray) -> DataFrame:

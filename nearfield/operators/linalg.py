@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vector import scaled
+
 
 def array_range(spark: SparkSession, n: int) -> DataFrame:
     """(i, v) with v = i."""
@@ -34,5 +36,5 @@ def total(df: DataFrame, col: str = "v", out: str = "total") -> DataFrame:
 def matvec(rows: DataFrame, vector: DataFrame) -> DataFrame:
     """(i, s): s[i] = sum over j of row_j[i] * v_j, for rows(j, row) and vector(i, v)."""
     joined = rows.join(vector.select(F.col("i").alias("j"), F.col("v").alias("a")), "j")
-    cells = joined.select(F.posexplode(F.transform("row", lambda x: x.cast("double") * F.col("a"))).alias("i", "x"))
+    cells = joined.select(F.posexplode(scaled(F.col("row"), F.col("a"))).alias("i", "x"))
     return cells.groupBy("i").agg(F.sum("x").alias("s"))

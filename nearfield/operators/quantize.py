@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,15 @@ class ScalarQuantizer:
 
     @classmethod
     def fit(cls, base: DataFrame) -> ScalarQuantizer:
-        rows = sorted(cls.params(base).collect())  # one row a dimension
+        return cls.load(cls.params(base))
+
+    def frame(self, spark) -> DataFrame:
+        """sq_params(d, mu, scale), to write beside the codes."""
+        return spark.createDataFrame([(i, float(m), float(s)) for i, (m, s) in enumerate(zip(self.mean, self.scale))], "d int, mu double, scale double")
+
+    @classmethod
+    def load(cls, params: DataFrame) -> ScalarQuantizer:
+        rows = sorted(params.select("d", "mu", "scale").collect())  # one row a dimension
         return cls(np.array([r["mu"] for r in rows]), np.array([r["scale"] for r in rows]))
 
     def codes(self, x: np.ndarray) -> np.ndarray:
@@ -41,25 +49,29 @@ class ScalarQuantizer:
     def transform(self, base: DataFrame) -> DataFrame:
         """sq_codes(id, codes array<tinyint>)."""
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pd.DataFrame({"id": b["id"], "codes": list(self.codes(scan.matrix(b["vec"]))) if len(b) else []})
+                if b.num_rows:
+                    codes = self.codes(scan.matrix(b.column("vec")))
+                    yield pa.RecordBatch.from_arrays([b.column("id"), scan.list_of(codes, pa.int8())], names=["id", "codes"])
 
-        return base.select("id", "vec").mapInPandas(run, "id long, codes array<tinyint>")
+        return base.select("id", "vec").mapInArrow(run, "id long, codes array<tinyint>")
 
     def coarse(self, codes: DataFrame, queries: DataFrame, p: int, weighted: bool = False) -> DataFrame:
         """hits by the negated product of codes; weighted multiplies by the squared scales."""
 
-        def of(block: scan.QuerySet):
-            q = self.codes(block.vectors).astype(np.float64) * (self.scale**2 if weighted else 1.0)
+        def prepare(vectors: np.ndarray) -> scan.Score:
+            q = self.codes(vectors).astype(np.float64) * (self.scale**2 if weighted else 1.0)
 
-            def make():
-                # the sums are whole numbers below 2**53: exact in any order
-                return lambda batch: -(q @ scan.matrix(batch["codes"]).T)
+            def of(batch):
+                x = scan.matrix(batch.column("codes"))
+                if weighted:
+                    return -(q @ x.T), lambda a, b: -(q[a] * x[b]).sum(axis=1)
+                return -(q @ x.T), None  # whole numbers below 2**53: exact in any order
 
-            return make
+            return of
 
-        return scan.scan_topk(codes, queries, p, of)
+        return scan.scan_topk(codes.select("id", "codes"), queries.select("qid", "qvec"), p, prepare)
 
     def search(self, base: DataFrame, codes: DataFrame, queries: DataFrame, k: int, p: int, weighted: bool = False) -> DataFrame:
         _check(k, p)
@@ -80,6 +92,7 @@ class ProductQuantizer:
 
     @classmethod
     def fit(cls, base: DataFrame, m: int, ksub: int, rounds: int = 20, init: str = "first_k", seed: int = 0, train_n: int = 0) -> ProductQuantizer:
+        """init: first_k, random, or kmeans++ (each slice seeded by itself); train_n rows by id, or all."""
         scan.check_positive(m=m, ksub=ksub)
         dim = exact.dimension(base)
         if dim % m:
@@ -89,8 +102,8 @@ class ProductQuantizer:
         data = base.orderBy("id").limit(train_n) if train_n else base
         width = dim // m
         if init == "kmeans++":
-            cut = lambda i: data.select("id", F.slice("vec", i * width + 1, width).alias("vec"))
-            start = np.stack([kmeans.plus_plus(cut(i), ksub, seed + i) for i in range(m)])
+            rows = kmeans.sample(data, seed)
+            start = np.stack([kmeans.seeds_of(rows[:, i * width : (i + 1) * width], ksub, seed + i) for i in range(m)])
         else:
             start = kmeans.initial(data, ksub, init, seed).reshape(ksub, m, width).transpose(1, 0, 2).copy()
         return cls(kmeans.lloyd(data, start, rounds, "l2"))
@@ -100,6 +113,12 @@ class ProductQuantizer:
         rows = [(m, c, [float(x) for x in v]) for m, part in enumerate(self.codebook) for c, v in enumerate(part)]
         return spark.createDataFrame(rows, "m int, c int, cvec array<double>")
 
+    @classmethod
+    def load(cls, codebook: DataFrame) -> ProductQuantizer:
+        rows = sorted(codebook.select("m", "c", "cvec").collect())  # m * ksub rows
+        m = rows[-1]["m"] + 1
+        return cls(np.array([r["cvec"] for r in rows], np.float64).reshape(m, len(rows) // m, -1))
+
     def codes(self, x: np.ndarray) -> np.ndarray:
         width = self.codebook.shape[2]
         return np.stack([kmeans.nearest(x[:, m * width : (m + 1) * width], part, "l2") for m, part in enumerate(self.codebook)], axis=1)
@@ -108,15 +127,15 @@ class ProductQuantizer:
         """pq_codes(id, codes array<smallint>, norm2), and the columns to keep."""
         fields = {f.name: f.dataType.simpleString() for f in base.schema.fields}
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = scan.matrix(b["vec"])
-                codes = list(self.codes(x).astype(np.int16)) if len(b) else []
-                norms = (x * x).sum(axis=1) if len(b) else []
-                yield pd.DataFrame({"id": b["id"], "codes": codes, "norm2": norms, **{c: b[c] for c in keep}})
+                if b.num_rows:
+                    x = scan.matrix(b.column("vec"))
+                    columns = [b.column("id"), scan.list_of(self.codes(x), pa.int16()), pa.array((x * x).sum(axis=1)), *(b.column(c) for c in keep)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "codes", "norm2", *keep])
 
         kept = "".join(f", {c} {fields[c]}" for c in keep)
-        return base.select("id", "vec", *keep).mapInPandas(run, f"id long, codes array<smallint>, norm2 double{kept}")
+        return base.select("id", "vec", *keep).mapInArrow(run, f"id long, codes array<smallint>, norm2 double{kept}")
 
     def tables(self, x: np.ndarray) -> np.ndarray:
         """Squared distances of each query's slices to the centroids: queries * m * ksub."""
@@ -126,41 +145,37 @@ class ProductQuantizer:
     def table_frame(self, queries: DataFrame) -> DataFrame:
         """lut(qid, m, c, d2)."""
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, k, _ = self.codebook.shape
-            for b in batches:
-                if len(b):
-                    yield pd.DataFrame(
-                        {
-                            "qid": np.repeat(b["qid"].to_numpy(), m * k),
-                            "m": np.tile(np.repeat(np.arange(m, dtype=np.int32), k), len(b)),
-                            "c": np.tile(np.arange(k, dtype=np.int32), len(b) * m),
-                            "d2": self.tables(scan.matrix(b["qvec"])).ravel(),
-                        }
-                    )
-
-        return queries.mapInPandas(run, "qid long, m int, c int, d2 double")
-
-    def scorer(self, block: scan.QuerySet, only=None):
-        """Estimated 1 - ip from code distances and norms; only(batch): which (query, row) may be candidates."""
-        tables, norms = self.tables(block.vectors), (block.vectors**2).sum(axis=1)
-        m = self.codebook.shape[0]
-
-        def make():
-            def score(batch):
-                codes = np.stack(batch["codes"].to_list()).astype(np.int64) if len(batch) else np.zeros((0, m), np.int64)
-                d2 = np.zeros((len(tables), len(codes)))
-                for i in range(m):
-                    d2 += tables[:, i, :][:, codes[:, i]]
-                dist = 1.0 - (batch["norm2"].to_numpy()[None] + norms[:, None] - d2) / 2
-                return dist if only is None else np.where(only(batch), dist, np.inf)
-
-            return score
-
-        return make
+            for whole in batches:
+                for at in range(0, whole.num_rows, scan.BATCH):
+                    b = whole.slice(at, scan.BATCH)
+                    columns = [
+                        np.repeat(b.column("qid").to_numpy(), m * k),
+                        np.tile(np.repeat(np.arange(m, dtype=np.int32), k), b.num_rows),
+                        np.tile(np.arange(k, dtype=np.int32), b.num_rows * m),
+                        self.tables(scan.matrix(b.column("qvec"))).ravel(),
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qid", "m", "c", "d2"])
+
+        return queries.select("qid", "qvec").mapInArrow(run, "qid long, m int, c int, d2 double")
+
+    def score(self, vectors: np.ndarray) -> scan.Score:
+        """Estimated 1 - ip from code distances and norms."""
+        tables, norms = self.tables(vectors), (vectors**2).sum(axis=1)
+        by_code = [np.ascontiguousarray(tables[:, i, :].T) for i in range(tables.shape[1])]
+
+        def of(batch):
+            codes = scan.matrix(batch.column("codes"), np.int64)
+            d2 = np.zeros((len(codes), len(vectors)))
+            for i, table in enumerate(by_code):
+                d2 += table[codes[:, i]]
+            return 1.0 - (batch.column("norm2").to_numpy()[None] + norms[:, None] - d2.T) / 2, None
+
+        return of
 
     def coarse(self, codes: DataFrame, queries: DataFrame, p: int) -> DataFrame:
-        return scan.scan_topk(codes, queries, p, self.scorer)
+        return scan.scan_topk(codes.select("id", "codes", "norm2"), queries.select("qid", "qvec"), p, self.score)
 
     def search(self, base: DataFrame, codes: DataFrame, queries: DataFrame, k: int, p: int) -> DataFrame:
         _check(k, p)
@@ -170,5 +185,5 @@ class ProductQuantizer:
 def adc_relational(codes: DataFrame, tables: DataFrame, query_norms: DataFrame) -> DataFrame:
     """(qid, id, dist) by a join of codes and distance tables: the statement that the array form is tested against."""
     long = codes.select("id", "norm2", F.posexplode("codes").alias("m", "c"))
-    summed = long.join(F.broadcast(tables), ["m", "c"]).groupBy("qid", "id", "norm2").agg(F.sum("d2").alias("d2"))
+    summed = long.join(tables, ["m", "c"]).groupBy("qid", "id", "norm2").agg(F.sum("d2").alias("d2"))
     return summed.join(query_norms, "qid").select("qid", "id", (F.lit(1.0) - (F.col("norm2") + F.col("qnorm2") - F.col("d2")) / 2).alias("dist"))

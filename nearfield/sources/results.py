@@ -32,3 +32,8 @@ def write_benchmark(df: DataFrame, path: str, decimals: dict[str, int]) -> None:
     """CSV with a header and fixed decimals."""
     fixed = [F.format_string(f"%.{decimals[c]}f", F.col(c)).alias(c) if c in decimals else F.col(c) for c in df.columns]
     df.select(*fixed).write.mode("overwrite").option("header", True).csv(path)
+
+
+def console(df: DataFrame, rows: int = 20) -> None:
+    """Prints the first rows of a result; a top-k report, not a sink of data."""
+    df.show(rows, truncate=False)

@@ -79,12 +79,21 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_vectors(path: str, vectors: np.ndarray) -> None:
-    """One local file, for fixtures and exchange."""
-    with open(path, "wb") as f:
+    """One file, for fixtures and exchange."""
+    import pyarrow.fs
+
+    fs, at = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    fs.create_dir(at.rpartition("/")[0] or "/", recursive=True)
+    with fs.open_output_stream(at) as f:
         f.write(struct.pack("<II", *vectors.shape))
         f.write(np.ascontiguousarray(vectors).tobytes())
 
 
+def round_robin(df: DataFrame, parts: int) -> DataFrame:
+    """Rows dealt to the partitions in turn."""
+    return df.repartition(parts)
+
+
 def from_parquet(spark: SparkSession, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     return spark.read.parquet(path).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
 

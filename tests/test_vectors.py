@@ -55,6 +55,11 @@ def test_rejects_non_finite(spark):
     base = spark.createDataFrame([(1, [1.0, float("nan")])], "i long, v array<float>")
     with pytest.raises(Exception, match="non-finite"):
         exact.validated(base, "i", "v").collect()
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, qvec array<float>")
+    for v in ([1.0, float("inf")], None, [1.0, None], [1.0]):
+        bad = spark.createDataFrame([(1, v), (2, [0.0, 1.0])], "id long, vec array<float>").coalesce(1)
+        with pytest.raises(Exception, match="vector|vectors|elements"):
+            exact.exact_topk(bad, q, 1).collect()
 
 
 @pytest.mark.parametrize("n", [1, 127, 384, 640, 2048])
@@ -92,8 +97,8 @@ def test_all_candidates_give_exact(data):
 def test_lists_on_disk_are_pruned(spark, data, tmp_path):
     base, q = data
     index = ivf.IVFIndex.fit(base, 6, 3).transform(base)
-    index.save(str(tmp_path / "lists"))
-    stored = index.load(spark, str(tmp_path / "lists"))
+    index.save(str(tmp_path / "index"))
+    stored = ivf.IVFIndex.load(spark, str(tmp_path / "index"))
     assert pairs(stored.search(q, 5, 2)) == pairs(index.search(q, 5, 2))
     plan = stored.search(q.where("qid = 0"), 5, 1)._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "list_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
@@ -118,13 +123,65 @@ def test_refusals(data):
         scan.check_positive(nprobe=0)
 
 
-def test_graph(data):
+def test_graph(spark, data, tmp_path):
     base, q = data
-    truth = exact.exact_topk(base, q, 5)
-    for metric, rows in (("ip", 1000), ("l2", 100)):
-        nodes, edges = hnsw.build(base, 8, 40, metric, shard_rows=rows)
-        hits = hnsw.search(nodes, edges, q, 5, 300, metric)
-        assert evaluate.mean_recall(truth, hits, 5).first()[0] == 1.0
+    for i, (metric, rows, law, full) in enumerate((("ip", 1000, "log", "evict"), ("l2", 100, "coin", "refuse"))):
+        truth = exact.exact_topk(base, q, 5, metric)
+        hnsw.HNSWIndex.build(base, 8, 40, metric, shard_rows=rows, law=law, full=full).save(str(tmp_path / f"g{i}"))
+        index = hnsw.HNSWIndex.load(spark, str(tmp_path / f"g{i}"), metric)
+        recall = evaluate.mean_recall(truth, index.search(q, 5, 300), 5).first()[0]
+        assert recall == 1.0 if full == "evict" else recall > 0
+        degrees = {(r["level"], r["src"]): r["n"] for r in index.edges().groupBy("level", "src").agg(F.count("dst").alias("n")).collect()}
+        assert max(n for (level, _), n in degrees.items() if level == 0) in range(9, 17) and all(n <= 8 for (level, _), n in degrees.items() if level)
+        assert index.edges().where("src = dst").count() == 0
+    flips = {r["max_level"]: r["count"] for r in hnsw.levels(base, 8, 1, "coin").groupBy("max_level").count().collect()}
+    assert 110 < flips[0] < 190 and 40 < flips[1] < 110
+
+
+def test_many_queries_stay_partitioned(data, monkeypatch):
+    """Beyond the broadcast's bound, and with small blocks, chunks and memory: the same hits."""
+    base, q = data
+    index = ivf.IVFIndex.fit(base, 6, 3).transform(base)
+    graph = hnsw.HNSWIndex.build(base, 8, 40, shard_rows=100)
+    runs = [lambda: exact.exact_topk(base, q, 5), lambda: exact.exact_topk(base, q, 5, "l2"), lambda: index.search(q, 5, 2), lambda: graph.search(q, 5, 300), lambda: exact.exact_topk(base, q, 5, plan="expr")]
+    want = [pairs(r()) for r in runs]
+    for name, value in (("BROADCAST_BYTES", 0), ("QUERY_BLOCK", 3), ("CHUNK", 7), ("HELD", 20), ("PREPARED", 1)):
+        monkeypatch.setattr(scan, name, value)
+    assert [pairs(r()) for r in runs] == want
+
+
+def test_seeds_are_drawn_by_distance():
+    """Against a plain roulette: the running minimum and the cumulative sum."""
+    x = np.random.default_rng(1).normal(size=(50, 4))
+    got, draw, seeds = kmeans.seeds_of(x, 6, 3), np.random.default_rng(3), [0]
+    while len(seeds) < 6:
+        weights = [min(float(((a - x[s]) ** 2).sum()) for s in seeds) for a in x]
+        r, total, pick = draw.random() * sum(weights), 0.0, 0
+        for i, w in enumerate(weights):
+            total += w
+            if total > r:
+                pick = i
+                break
+        seeds.append(pick)
+    assert (got == x[seeds]).all()
+    assert (kmeans.seeds_of(np.ones((3, 2)), 3) == 1).all()
+
+
+def test_stored_quantizers(spark, data, tmp_path):
+    base, q = data
+    sq, pq = quantize.ScalarQuantizer.fit(base), quantize.ProductQuantizer.fit(base, 4, 8, 3, "kmeans++", 1)
+    assert (quantize.ScalarQuantizer.load(sq.frame(spark)).scale == sq.scale).all()
+    assert (quantize.ProductQuantizer.load(pq.codebook_frame(spark)).codebook == pq.codebook).all()
+    far = quantize.ProductQuantizer.fit(base, 4, 8, 10, "random", 2)
+    index = ivf.IVFIndex.fit(base, 6, 3).transform(base).quantized(far)
+    index.save(str(tmp_path / "ivfpq"))
+    again = ivf.IVFIndex.load(spark, str(tmp_path / "ivfpq"), True)
+    assert pairs(again.search_quantized(base, q, 5, 6, 300)) == pairs(exact.exact_topk(base, q, 5))
+
+
+def test_console(spark, capsys):
+    results.console(spark.range(3))
+    assert "|2  |" in capsys.readouterr().out
 
 
 def test_recall(data):
