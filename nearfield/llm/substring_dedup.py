@@ -9,8 +9,9 @@ document with a smaller doc_id, judged on the input.
 
 Defined results: null and empty texts have no words; documents of fewer than 50
 words have no window and stay whole; a row without doc_id stays whole and
-removes nothing; rows that repeat a doc_id must have equal texts and are one
-document. White space between words that stay becomes one space.
+removes nothing; rows that repeat a doc_id don't remove each other's words, and
+with equal texts they get equal results. White space between words that stay
+becomes one space.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ the strings that repeat.
 
 Defined results: null and empty texts have no bytes; texts under 400 bytes
 have no string; a row without doc_id stays whole and removes nothing; rows that
-repeat a doc_id must have equal texts, and repeat each other's strings.
+repeat a doc_id repeat each other's strings.
 """
 
 from __future__ import annotations

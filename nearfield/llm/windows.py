@@ -11,9 +11,15 @@ super-k-mer; equal windows have equal minimisers, so they meet in one bucket.
    super-k-mers of a minimiser are one string, all their windows repeat.
 3. Of the other minimisers one packed string for each digest travels to the
    bucket of its minimiser, where ``resolve`` decides about its windows.
-   A minimiser with over ``HOT`` different strings doesn't travel whole: its
-   windows are dealt by 128-bit hashes of their own content, pre-aggregated.
-4. Verdicts go back to all instances and become spans of the documents.
+4. A minimiser with over ``HOT`` different strings or ``HOT_BYTES`` of them is
+   dealt again: its strings are cut by a second minimiser, the pieces that are
+   equal become one, and they travel to buckets of their own, where the same
+   ``resolve`` decides. The second minimiser is the smallest hash among the
+   grams that few strings of the bucket have (a common passage has only grams
+   that many have; what stands beside it differs), else among all grams. A
+   bucket that is still too large is cut a third time with longer grams, and
+   then to single windows, which travel with their bytes too.
+5. Verdicts go back to all instances and become spans of the documents.
 """
 
 from __future__ import annotations
@@ -29,9 +35,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Different packed strings of one minimiser that one task resolves at most: some 3 MB of bytes, for which
-#: a suffix array takes about 0.3 GB in the worker.
-HOT = 5000
+#: Different packed strings of one minimiser, and their bytes, that one task resolves at once at most; a suffix array of
+#: so many bytes takes some 50 MB in the worker.
+HOT, HOT_BYTES = 512, 512 << 10
+#: A gram is common in a hot bucket if over this share of ``HOT``, and of all strings of the bucket, have it.
+COMMON, COMMON_PART = 4, 1024
+#: One of so many grams is counted, and tried as a second minimiser first.
+SAMPLED = 8
+#: Times that a bucket is cut by a minimiser again before its windows travel alone, and parts of the join that tells tasks the common grams.
+RECUTS, SALTS = 2, 16
 #: Tokens hashed at once, and bytes of packed strings resolved at once.
 SEGMENT, CHUNK = 1 << 19, 512 << 10
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -85,6 +97,20 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def _runs_of(order: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, minimiser) of the runs of windows with one minimiser, given the grams' order."""
+    least = _sliding_min(order, window - gram + 1)
+    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    size = np.diff(np.concatenate((first, [len(least)])))
+    if size.max() > 4 * window:  # cut the runs of periodic text
+        pieces = -(-size // (4 * window))
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        end = np.repeat(first + size, pieces)
+        first = np.repeat(first, pieces) + nth * 4 * window
+        size = np.minimum(4 * window, end - first)
+    return first, size, least[first]
+
+
 def super_kmers(hashes: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first window, number of windows, minimiser, whether it has the minimiser twice) of all runs, a segment at a time."""
     w = scheme.window
@@ -93,39 +119,19 @@ def super_kmers(hashes: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray
         for at in range(0, max(0, total), SEGMENT):
             part = hashes[at : min(at + SEGMENT, total) + w - 1]
             grams = _grams(part, scheme.gram)
-            least = _sliding_min(grams, w - scheme.gram + 1)
-            first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-            size = np.diff(np.concatenate((first, [len(least)])))
-            if size.max() > 4 * w:  # cut the runs of periodic text
-                pieces = -(-size // (4 * w))
-                nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                end = np.repeat(first + size, pieces)
-                first = np.repeat(first, pieces) + nth * 4 * w
-                size = np.minimum(4 * w, end - first)
+            first, size, least = _runs_of(grams, w, scheme.gram)
             ends = (first + size + (w - scheme.gram)).tolist()
-            twice = [np.count_nonzero(grams[a:b] == m) > 1 for a, b, m in zip(first.tolist(), ends, least[first])]
-            yield first + at, size, least[first], np.array(twice)
+            twice = [np.count_nonzero(grams[a:b] == m) > 1 for a, b, m in zip(first.tolist(), ends, least)]
+            yield first + at, size, least, np.array(twice)
 
 
-def window_hashes(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each window."""
-    out = []
-    with np.errstate(over="ignore"):
-        for base in _BASES:
-            total = np.zeros(max(0, len(hashes) - window + 1), np.uint64)
-            for i in range(window):  # Horner's rule over all windows at once
-                total = total * base + hashes[i : i + len(total)]
-            out.append(total ^ (total >> np.uint64(32)))
-    return out[0], out[1]
-
-
-_INSTANCE = "doc_id long, start int, n int, mini long, ph1 long, ph2 long, twice boolean"
+_INSTANCE = "doc_id long, th long, start int, n int, mini long, ph1 long, ph2 long, twice boolean"
 
 
 def instances(text: DataFrame, scheme: Scheme) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "n", "mini", "ph1", "ph2", "twice"]
-        for doc, body in common.rows(batches):
+        names = ["doc_id", "th", "start", "n", "mini", "ph1", "ph2", "twice"]
+        for doc, th, body in common.rows(batches):
             if len(body) < scheme.window:
                 continue
             normal, starts, ends, hashes = scheme.cut(body)
@@ -133,7 +139,7 @@ def instances(text: DataFrame, scheme: Scheme) -> DataFrame:
                 a, b = starts[first].tolist(), ends[first + size + (scheme.window - 2)].tolist()
                 digests = b"".join([xxhash.xxh3_128_digest(normal[i:j]) for i, j in zip(a, b)])
                 halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
-                arrays = [np.full(len(first), doc, np.int64), first.astype(np.int32), size.astype(np.int32), least.view(np.int64), halves[:, 0], halves[:, 1], twice]
+                arrays = [np.full(len(first), doc, np.int64), np.full(len(first), th, np.int64), first.astype(np.int32), size.astype(np.int32), least.view(np.int64), halves[:, 0], halves[:, 1], twice]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in arrays], names=names)
 
     return text.mapInArrow(_merged(run), _INSTANCE)
@@ -156,10 +162,9 @@ def _merged(run: Callable) -> Callable:
     return out
 
 
-_WANTED = "array<struct<start:int,n:int,mini:bigint,ph1:bigint,ph2:bigint,c:bigint,hot:boolean>>"
-_PACKED = "mini long, ph1 long, ph2 long, doc_id long, c long, n int, hot boolean, packed binary"
+_PACKED = "mini long, ph1 long, ph2 long, doc_id long, c long, n int, packed binary"
 _PACKED_ARROW = pa.schema(
-    [("mini", pa.int64()), ("ph1", pa.int64()), ("ph2", pa.int64()), ("doc_id", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("hot", pa.bool_()), ("packed", pa.binary())]
+    [("mini", pa.int64()), ("ph1", pa.int64()), ("ph2", pa.int64()), ("doc_id", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("packed", pa.binary())]
 )
 
 
@@ -172,7 +177,7 @@ def _pack(scheme: Scheme) -> Callable:
             normal, starts, ends, _ = scheme.cut(body)
             for x in wanted:
                 packed = normal[starts[x["start"]] : ends[x["start"] + x["n"] + scheme.window - 2]]
-                if sink.add((x["mini"], x["ph1"], x["ph2"], doc, x["c"], x["n"], x["hot"], packed), 64 + len(packed)):
+                if sink.add((x["mini"], x["ph1"], x["ph2"], doc, x["c"], x["n"], packed), 64 + len(packed)):
                     yield sink.flush()
         yield sink.flush()
 
@@ -182,7 +187,7 @@ def _pack(scheme: Scheme) -> Callable:
 _RUN = "mini long, ph1 long, ph2 long, off int, len int, least long"
 _RUN_ARROW = pa.schema([("mini", pa.int64()), ("ph1", pa.int64()), ("ph2", pa.int64()), ("off", pa.int32()), ("len", pa.int32()), ("least", pa.int64())])
 
-#: Rows (mini, ph1, ph2, doc_id, c, n, hot, packed) of whole minimisers in; for each row its (offset, length, least doc_id).
+#: Rows (mini, ph1, ph2, doc_id, c, n, packed) of whole minimisers in; for each row its (offset, length, least doc_id).
 Resolve = Callable[[list[tuple]], list[list[tuple[int, int, int]]]]
 
 
@@ -211,19 +216,124 @@ def _buckets(resolve: Resolve) -> Callable:
     return run
 
 
-def _each_window(scheme: Scheme) -> Callable:
-    names = ["w1", "w2", "mini", "ph1", "ph2", "off", "doc_id", "c"]
+def _gram(scheme: Scheme, level: int) -> int:
+    """The scheme's gram, then four times as long."""
+    return scheme.gram << 2 * (level - 1)
+
+
+def _own_grams(scheme: Scheme, packed: bytes, level: int) -> np.ndarray:
+    """Hashes of a packed string's grams, in an order of the level's own; grams are longer from level to level."""
+    with np.errstate(over="ignore"):
+        grams = _grams(scheme.cut(packed)[3], _gram(scheme, level))
+        return grams * _BASES[level % 2] ^ grams >> np.uint64(29)
+
+
+def _rarely_tried(grams: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return grams * _MIX >> np.uint64(61) != 0  # all but one of SAMPLED
+
+
+def _counted(scheme: Scheme, level: int) -> Callable:
+    """(mini, kinds, g, n): in how many packed strings of the task a gram is, for the grams that are counted."""
+    schema = pa.schema([("mini", pa.int64()), ("kinds", pa.int64()), ("g", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
+        size = 0
+
+        def flush():
+            for (mini, kinds), parts in held.items():
+                found, n = np.unique(np.concatenate(parts), return_counts=True)
+                k = len(found)
+                columns = [np.full(k, mini, np.int64), np.full(k, kinds, np.int64), found.view(np.int64), n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+        for mini, kinds, packed in common.rows(batches):
+            grams = np.unique(_own_grams(scheme, packed, level))
+            held.setdefault((mini, kinds), []).append(grams[~_rarely_tried(grams)])
+            size += len(held[mini, kinds][-1])
+            if size > 2 << 20:
+                yield from flush()
+                held, size = {}, 0
+        yield from flush()
+
+    return run
+
+
+_RECUT = "pm long, p1 long, p2 long, at int, mini long, ph1 long, ph2 long, doc_id long, c long, n int, packed binary"
+_RECUT_ARROW = pa.schema([("pm", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("at", pa.int32()), *_PACKED_ARROW])
+
+
+def _recut(scheme: Scheme, level: int) -> Callable:
+    """Pieces of packed strings by the second minimiser; single windows behind the last level."""
+    w, gram = scheme.window, _gram(scheme, level)
+
+    def runs(packed: bytes, known: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if level > RECUTS:
+            total = len(scheme.cut(packed)[3]) - w + 1
+            return np.arange(total), np.ones(total, np.int64), np.zeros(total, np.uint64)
+        grams = _own_grams(scheme, packed, level)
+        late = _rarely_tried(grams)
+        if known:
+            late |= np.isin(grams, np.array(known, np.int64).view(np.uint64))
+        return _runs_of(grams >> np.uint64(1) | late.astype(np.uint64) << np.uint64(63), w, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for mini, ph1, ph2, doc, c, n, _, packed in common.rows(batches):
-            w1, w2 = window_hashes(scheme.cut(packed)[3], scheme.window)
-            same = [pa.array(np.full(n, x, np.int64)) for x in (mini, ph1, ph2)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), *same, pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, c, np.int64))],
-                names=names,
-            )
+        sink = common.Sink(_RECUT_ARROW, 1 << 20)
+        for mini, ph1, ph2, doc, c, packed, known in common.rows(batches):
+            normal, starts, ends, _ = scheme.cut(packed)
+            first, size, least = runs(packed, known)
+            for at, n, key in zip(first.tolist(), size.tolist(), least.tolist()):
+                piece = normal[starts[at] : ends[at + n + w - 2]]
+                digest = xxhash.xxh3_128_digest(piece)
+                half = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+                own = xxhash.xxh3_64_intdigest(piece if level > RECUTS else key.to_bytes(8, "little"), mini & (1 << 64) - 1)
+                new = own - (1 << 64) if own >= 1 << 63 else own
+                if sink.add((mini, ph1, ph2, at, new, *half, doc, c, n, piece), 100 + len(piece)):
+                    yield sink.flush()
+        yield sink.flush()
 
-    return _merged(run)
+    return run
+
+
+def _decide(packed: DataFrame, scheme: Scheme, resolve: Resolve, level: int = 0) -> DataFrame:
+    """Runs of the windows of packed strings, with the least doc_id that has each."""
+
+    def settled(rows: DataFrame) -> DataFrame:
+        return rows.repartition("mini").sortWithinPartitions("mini").mapInArrow(_buckets(resolve), _RUN)
+
+    packed = packed.select(*_PACKED_ARROW.names)
+    if level > RECUTS + 1:
+        return settled(packed)
+    sizes = packed.groupBy("mini").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.octet_length("packed")).alias("bytes"))
+    large = common.materialize(sizes.where((F.col("kinds") > HOT) | (F.col("bytes") > HOT_BYTES) & (F.col("kinds") > 1)).select("mini", "kinds"), "large")
+    if large.isEmpty():
+        return settled(packed)
+    runs = settled(packed.join(large, "mini", "left_anti"))
+    level += 1
+    hot = packed.join(large, "mini").withColumn("salt", F.pmod("ph1", F.lit(SALTS)))
+    if level <= RECUTS:
+        often = (
+            hot.select("mini", "kinds", "packed")
+            .mapInArrow(_counted(scheme, level), "mini long, kinds long, g long, n long")
+            .groupBy("mini", "kinds", "g")
+            .agg(F.sum("n").alias("n"))
+            .where((F.col("n") > HOT / COMMON) & (F.col("n") > F.col("kinds") / COMMON_PART))
+        )
+        # not more than COMMON_PART times the grams of one string
+        known = often.groupBy("mini").agg(F.collect_list("g").alias("known")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        hot = hot.join(known, ["mini", "salt"], "left")
+    else:
+        hot = hot.withColumn("known", F.lit(None).cast("array<long>"))
+    pieces = hot.select("mini", "ph1", "ph2", "doc_id", "c", "packed", "known").mapInArrow(_recut(scheme, level), _RECUT)
+    pieces = common.materialize(pieces, "recut")
+    keys = ["mini", "ph1", "ph2"]
+    again = pieces.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.sum("c").alias("c"), F.first("n").alias("n"), F.first("packed").alias("packed"))
+    if level <= RECUTS:
+        again = common.materialize(again, "pieces")
+    found = _decide(again, scheme, resolve, level)
+    back = pieces.select("pm", "p1", "p2", "at", *keys).join(found, keys)
+    return runs.unionByName(back.select(F.col("pm").alias("mini"), F.col("p1").alias("ph1"), F.col("p2").alias("ph2"), (F.col("at") + F.col("off")).alias("off"), "len", "least"))
 
 
 def spans(docs: DataFrame, scheme: Scheme, resolve: Resolve, across: bool, id_col: str, text_col: str) -> DataFrame:
@@ -232,7 +342,7 @@ def spans(docs: DataFrame, scheme: Scheme, resolve: Resolve, across: bool, id_co
     across: a window goes if a smaller doc_id has it; else if it occurs anywhere else.
     """
     common.session(docs)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.utf8(text_col).alias("b"))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.utf8(text_col).alias("b")).select("doc_id", F.xxhash64("b").alias("th"), "b")
     found = common.materialize(instances(text.where("doc_id is not null"), scheme), "superkmers")
     ends = [f(c).alias(f"{name}_{c}") for c in ("ph1", "ph2") for name, f in (("lo", F.min), ("hi", F.max))]
     repeated = (
@@ -242,31 +352,23 @@ def spans(docs: DataFrame, scheme: Scheme, resolve: Resolve, across: bool, id_co
         .select("mini", "lo", F.expr("c > 1 and lo_ph1 = hi_ph1 and lo_ph2 = hi_ph2").alias("same"))
     )
     cand = common.materialize(found.drop("twice").join(repeated, "mini"), "candidates")
-    whole = cand.where("same and doc_id > lo" if across else "same").select("doc_id", F.col("start").alias("at"), "n")
+    whole = cand.where("same and doc_id > lo" if across else "same").select("doc_id", "th", F.col("start").alias("at"), "n")
     mixed = cand.where("not same")
 
-    kinds = mixed.groupBy("mini", "ph1", "ph2").agg(F.min(F.struct("doc_id", "start", "n")).alias("rep"), F.count(F.lit(1)).alias("c"))
-    per_mini = kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("kinds")).select("mini", (F.col("kinds") > HOT).alias("hot"))
-    wanted = (
-        kinds.join(per_mini, "mini")
-        .groupBy(F.col("rep.doc_id").alias("_doc"))
-        .agg(F.collect_list(F.struct("rep.start", "rep.n", "mini", "ph1", "ph2", "c", "hot")).alias("wanted"))
+    kinds = mixed.groupBy("mini", "ph1", "ph2").agg(F.min(F.struct("doc_id", "th", "start", "n")).alias("rep"), F.count(F.lit(1)).alias("c"))
+    wanted = kinds.groupBy(F.col("rep.doc_id").alias("_doc"), F.col("rep.th").alias("_th")).agg(
+        F.collect_list(F.struct("rep.start", "rep.n", "mini", "ph1", "ph2", "c")).alias("wanted")
     )
-    packed = text.join(wanted, text["doc_id"] == wanted["_doc"], "left").select("doc_id", "b", "wanted").mapInArrow(_pack(scheme), _PACKED)
+    own = (text["doc_id"] == wanted["_doc"]) & (text["th"] == wanted["_th"])
+    packed = text.join(wanted, own).select("doc_id", "b", "wanted").mapInArrow(_pack(scheme), _PACKED)
     packed = common.materialize(packed, "packed")
-    buckets = packed.where("not hot").repartition("mini").sortWithinPartitions("mini")
-    runs = buckets.mapInArrow(_buckets(resolve), _RUN)
-
-    each = packed.where("hot").mapInArrow(_each_window(scheme), "w1 long, w2 long, mini long, ph1 long, ph2 long, off int, doc_id long, c long")
-    of_window = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.sum("c").alias("times"))
-    of_window = of_window if across else of_window.where("times > 1")
-    runs = runs.unionByName(each.join(of_window, ["w1", "w2"]).select("mini", "ph1", "ph2", "off", F.lit(1).alias("len"), "least"))
+    runs = _decide(packed, scheme, resolve)
 
     back = mixed.join(runs, ["mini", "ph1", "ph2"])
     back = back.where("doc_id > least") if across else back
-    marked = whole.unionByName(back.select("doc_id", (F.col("start") + F.col("off")).alias("at"), F.col("len").alias("n")))
-    of_doc = marked.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
-    return text.join(of_doc, text["doc_id"] == of_doc["_doc"], "left").select("doc_id", "b", "_spans")
+    marked = whole.unionByName(back.select("doc_id", "th", (F.col("start") + F.col("off")).alias("at"), F.col("len").alias("n")))
+    of_doc = marked.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
+    return text.join(of_doc, (text["doc_id"] == of_doc["_doc"]) & (text["th"] == of_doc["_th"]), "left").select("doc_id", "b", "_spans")
 
 
 def covered(spans_: list[dict] | None, scheme: Scheme, tokens: int) -> np.ndarray:
