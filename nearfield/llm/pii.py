@@ -1,12 +1,14 @@
 """PII: format-preserving pseudonyms by a keyed Feistel network.
 
 Validated values (card numbers, IBANs, social security numbers, phone numbers,
-IPv4 addresses, dates, e-mail addresses, hexadecimal secrets) are numbered
+IPv4 addresses, dates, e-mail addresses, hexadecimal secrets, access keys) are numbered
 within the set of values of their format, the number is permuted by a keyed
 Feistel network on that set (with cycle walking, so that it stays a
 permutation), and the result is written in the same format: punctuation, case
 and check digits hold. Equal values have equal pseudonyms in all documents, and
-different ones different; the key undoes it.
+different ones different; the key undoes it. A phone number has one pseudonym
+with and without the country code 1, an e-mail address one for all spellings of
+upper and lower case; hosts and key prefixes stay, so that format and issuer do.
 
 Defined results: null stays null, empty texts stay empty; what fails its
 validation (a card number's or an IBAN's check digits, a date that no calendar
@@ -110,7 +112,8 @@ def _phone(found: str, p: Permutation, back: bool) -> str | None:
     if not 10 <= len(digits) <= 15:
         return None
     head = digits[:-10]
-    return _refill(found, head + f"{p.move('phone' + head, 10**10, int(digits[-10:]), back):010d}")
+    plan = "" if head == "1" else head
+    return _refill(found, head + f"{p.move('phone' + plan, 10**10, int(digits[-10:]), back):010d}")
 
 
 def _ip(found: str, p: Permutation, back: bool) -> str | None:
@@ -171,7 +174,8 @@ def _alnum(c: str) -> tuple[int, str] | None:
 
 def _email(found: str, p: Permutation, back: bool) -> str | None:
     local, _, host = found.rpartition("@")
-    return f"{_by_class(local, 'email|' + host.lower(), p, back, _alnum)}@{host}"
+    new = _by_class(local.lower(), "email|" + host.lower(), p, back, _alnum)
+    return "".join(c.upper() if o.isupper() else c for c, o in zip(new, local)) + f"@{host}"
 
 
 def _secret(found: str, p: Permutation, back: bool) -> str | None:
@@ -181,6 +185,11 @@ def _secret(found: str, p: Permutation, back: bool) -> str | None:
     return _by_class(found, "secret", p, back, lambda c: (16, digits))
 
 
+def _access_key(found: str, p: Permutation, back: bool) -> str | None:
+    head = _KEY_HEAD.match(found).group()
+    return head + _by_class(found[len(head) :], f"key|{head}", p, back, _alnum)
+
+
 def _iban_check(country: str, bban: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in f"{bban}{country}00")) % 97
 
@@ -195,10 +204,14 @@ def _iban(found: str, p: Permutation, back: bool) -> str | None:
     return "".join(" " if c == " " else next(it) for c in found)
 
 
+# How access keys of well-known issuers begin.
+_KEY_HEAD = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abpr]-")
+
 #: Kinds in the order in which they are tried at one place, with what they look like.
 KINDS: dict[str, tuple[str, Callable[[str, Permutation, bool], str | None]]] = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     "secret": (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])", _secret),
+    "key": (r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abpr]-[A-Za-z0-9-]{20,64})(?![A-Za-z0-9])", _access_key),
     "ip": (r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])", _ip),
     "date": (r"(?<![0-9])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9])", _date),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn),

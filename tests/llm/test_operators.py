@@ -102,8 +102,67 @@ def test_suffix_dedup(docs, texts, hot, monkeypatch):
 
 def test_substring_dedup_splits_hot_minimisers(docs, monkeypatch):
     want = by_id(substring_dedup.dedup(docs))
-    monkeypatch.setattr(windows, "HOT", 1)
-    assert by_id(substring_dedup.dedup(docs)) == want
+    for hot, sampled in ((1, True), (3, True), (1, False)):
+        monkeypatch.setattr(windows, "HOT", hot)
+        if not sampled:
+            monkeypatch.setattr(windows, "HOT_BYTES", 1)
+        assert by_id(substring_dedup.dedup(docs)) == want
+
+
+def near_copies(n=40, size=150):
+    """Copies of one text, each with a few words of its own: their minimisers are hot."""
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(size)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(size)] = f"own{i}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def test_hot_minimisers_of_near_copies(spark, monkeypatch):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(windows, "HOT", 4)
+    recut, real = [], windows._recut
+    monkeypatch.setattr(windows, "_recut", lambda scheme, level: recut.append(level) or real(scheme, level))
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    got = by_id(substring_dedup.dedup(docs))
+    for i, t in rows:
+        w, hit = t.split(), set()
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < i:
+                hit.update(range(k, k + 50))
+        assert got[i]["kept"] == " ".join(x for k, x in enumerate(w) if k not in hit)
+    times = Counter(t[k : k + 400] for _, t in ((i, t.encode()) for i, t in rows) for k in range(len(t) - 399))
+    got = by_id(suffix_dedup.dedup(docs))
+    for i, t in rows:
+        raw, hit = t.encode(), set()
+        for k in range(len(raw) - 399):
+            if times[raw[k : k + 400]] > 1:
+                hit.update(range(k, k + 400))
+        assert bytes(got[i]["kept"]) == bytes(b for k, b in enumerate(raw) if k not in hit)
+    assert recut and max(recut) > 1
+
+
+def test_dedup_of_repeated_ids_and_segments(spark, monkeypatch):
+    """Rows of one id with different texts keep apart; texts over a segment are whole."""
+    rng = random.Random(9)
+    passage, other = (" ".join(rng.choices(WORDS, k=70)) for _ in range(2))
+    rows = [(1, passage), (2, f"{passage} tail"), (2, other), (2, other), (3, " ".join(rng.choices(WORDS, k=300)) + " " + other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, 70, 0), (2, 70, 0), (2, 70, 0), (2, 71, 70), (3, 370, 70)]
+    for segment in (windows.SEGMENT, 16):
+        monkeypatch.setattr(windows, "SEGMENT", segment)
+        assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(docs).collect()) == want
+        gone = sorted((r["doc_id"], r["n_removed"] > 0) for r in suffix_dedup.dedup(docs).collect())
+        assert gone == [(1, True), (2, True), (2, True), (2, True), (3, True)] if len(passage) >= 400 and len(other) >= 400 else gone
 
 
 def test_suffix_array_sorts():
@@ -405,7 +464,7 @@ def test_quality(docs, texts):
             len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again),
         )
         if len(w) < 50 or 100 * len(again) > 50 * len(w):
-            assert got[i]["_rejected_by"] == "base"
+            assert got[i]["_rejected_by"] is not None
 
 
 def queries_of_quality(docs):
@@ -416,9 +475,11 @@ def test_rule_order_changes_no_verdict(docs):
     rules = quality.default_rules()
     verdicts = []
     for order in (rules, rules[::-1]):
-        found = quality.with_features(docs).select("doc_id", quality.cascade(order, F.col("_q")).isNull().alias("ok"))
+        found = quality.with_features(docs).select("doc_id", quality.cascade([*quality.BASE, *order], F.col("_q")).isNull().alias("ok"))
         verdicts.append({r["doc_id"]: r["ok"] for r in found.collect()})
-    assert verdicts[0] == verdicts[1]
+    for counts in (True, False):
+        verdicts.append({r["doc_id"]: r["_rejected_by"] is None for r in quality.apply(docs, counts=counts).collect()})
+    assert verdicts[0] == verdicts[1] == verdicts[2] == verdicts[3] and 0 < sum(verdicts[0].values()) < len(verdicts[0])
     never = [quality.Rule("none", lambda q: F.lit(False)), quality.Rule("all", lambda q: q["n_words"] >= 0)]
     assert [r.name for r in quality.order_rules(docs, never)] == ["all", "none"]
 
@@ -469,6 +530,68 @@ def test_dates_with_the_day_in_the_middle_stay_so():
     assert p.replace("13/13/2024 4111 1111 1111 1112 12/25") == ("13/13/2024 4111 1111 1111 1112 12/25", [])
 
 
+def planted_value(rng):
+    """A value of some kind, made without the operator's code, its kind, and what makes it the same as another."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    kind = rng.choice(["card", "ip", "date", "ssn", "phone", "email", "secret", "key", "iban"])
+    if kind == "card":
+        body = "4" + digits(14)
+        total = sum(sum(divmod(int(c) * (2 if i % 2 == 0 else 1), 10)) for i, c in enumerate(reversed(body)))
+        full = body + str(-total % 10)
+        return kind, rng.choice([full, " ".join(full[i : i + 4] for i in range(0, 16, 4))]), full
+    if kind == "ip":
+        value = ".".join(str(rng.randrange(256)) for _ in range(4))
+    elif kind == "date":
+        value = f"{rng.randint(1950, 2040)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"
+    elif kind == "ssn":
+        value = f"{rng.randint(100, 600)}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+    elif kind == "phone":
+        own = f"{rng.randint(200, 999)}-{digits(3)}-{digits(4)}"
+        return kind, rng.choice(["", "+1 "]) + own, own
+    elif kind == "email":
+        own = f"{rng.choice(['ann', 'bo'])}.{rng.choice(['lee', 'ray'])}{digits(1)}@mail.example.com"
+        return kind, rng.choice([own, own.title().replace("Mail.Example.Com", "mail.example.com")]), own
+    elif kind == "secret":
+        value = "a1" + "".join(rng.choice("0123456789abcdef") for _ in range(38))
+    elif kind == "key":
+        value = "AKIA" + "".join(rng.choice("0123456789ABCDEFGH") for _ in range(16))
+    else:
+        bban = digits(18)
+        value = f"DE{98 - int(bban + '131400') % 97:02d}{bban}"
+    return kind, value, value
+
+
+def test_pseudonyms_against_planted_values(spark):
+    """Every planted value goes, nothing else changes, and equal values (and only they) stay equal across documents."""
+    rng = random.Random(11)
+    pool = [planted_value(rng) for _ in range(120)]
+    rows, want = [], []
+    for i in range(150):
+        parts, kinds = [], []
+        for _ in range(rng.randint(0, 6)):
+            kind, value, same = rng.choice(pool)
+            parts += [" ".join(rng.choices(["plain", "Words", "x,", "été", "12"], k=rng.randint(1, 5))) + " and: ", (kind, value, same)]
+            kinds.append(kind)
+        rows.append((i, "".join(p if isinstance(p, str) else p[1] + "; " for p in parts)))
+        want.append((parts, kinds))
+    got = by_id(pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), b"0123456789abcdef"))
+    links: dict = {}
+    for i, (parts, kinds) in enumerate(want):
+        assert got[i]["kinds"] == kinds
+        rest = got[i]["text"]
+        for p in parts:
+            if isinstance(p, str):
+                assert rest.startswith(p)
+                rest = rest[len(p) :]
+            else:
+                new, rest = rest[: len(p[1])] if p[0] != "ip" else rest[: rest.index("; ")], rest[rest.index("; ") + 2 :]
+                key = re.sub("[^0-9a-z@.]", "", new.lower())[-10 if p[0] == "phone" else 0 :]
+                links.setdefault((p[0], p[2]), set()).add(key)
+                assert new != p[1]
+        assert rest == ""
+    assert all(len(v) == 1 for v in links.values()) and len({(k[0], *v) for k, v in links.items()}) == len(links) > 80
+
+
 def test_pseudonymize_frame(spark):
     rows = [(1, "ip 10.0.0.1"), (2, None), (3, ""), (None, "10.0.0.1 and 10.0.0.1"), (1, "ip 10.0.0.1")]
     got = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), b"0123456789abcdef").collect()
@@ -477,6 +600,25 @@ def test_pseudonymize_frame(spark):
     assert out == {(1, f"ip {ip}"), (2, None), (3, ""), (None, f"{ip} and {ip}")} and len(got) == 5
 
 
+def test_later_rules_see_no_rejected_row(docs, monkeypatch):
+    """Lazy features: what only later rules need is null where an earlier one has rejected."""
+    monkeypatch.setattr(quality, "order_rules", lambda df, rules, *_: sorted(rules, key=lambda r: r.name == "repeats"))
+    got = quality.apply(docs, counts=False).select("_rejected_by", F.col("_q.n_repeat_words").alias("n")).collect()
+    assert all((r["n"] is None) == (r["_rejected_by"] not in (None, "repeats")) for r in got) and any(r["n"] is None for r in got)
+
+
+def test_results_replace_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(2**63 - 1, "a\nb\nc", 1, 2), (None, "a\nb\nc", 1, 2)], "doc_id long, text string, _kept int, _Q int")
+    found = line_dedup.apply(docs).collect()
+    assert sorted(r["_kept"] for r in found) == ["", "a\nb\nc"] and all(r["_Q"] == 2 for r in found)
+    assert next(r["_kept"] for r in found if r["doc_id"]) == "a\nb\nc"
+    docs = docs.withColumn("_rejected_by", F.lit(1)).withColumn("row", F.lit(5)).withColumn("words", F.lit(6))
+    for counts in (True, False):
+        rows = quality.apply(docs, counts=counts).collect()
+        assert all(r["_rejected_by"] == "few_words" or r["_rejected_by"] for r in rows) and all((r["_kept"], r["row"], r["words"]) == (1, 5, 6) for r in rows)
+        assert all(r["_q"]["n_words"] in (3, None) for r in rows)
+
+
 OPERATORS = {
     "substring": substring_dedup.dedup,
     "suffix": suffix_dedup.dedup,
@@ -486,6 +628,9 @@ OPERATORS = {
     "keep_one": simhash.keep_one,
     "pii": lambda d: pii.pseudonymize(d, b"0123456789abcdef"),
     "bpe": queries.bpe_digest,
+    "quality_lazy": lambda d: quality.apply(d, counts=False),
+    "scan": lambda d: decontaminate.scan(d, d.sparkSession.createDataFrame([(1, "a b"), (None, "w1 w2"), (1, "a b")], "item_id long, text string")),
+    "tokens": lambda d: token_files.read(d.sparkSession, token_files.write(d, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)),
     "clean": lambda d: decontaminate.clean(d, d.sparkSession.createDataFrame([(1, "a b")], "item_id long, text string")),
 }
 
@@ -493,8 +638,8 @@ OPERATORS = {
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_edges(spark, name):
     """No rows; null ids and texts; repeated rows; columns whose names operators use inside."""
-    extra = "doc_id long, text string, mini long, n long, b string, fp long, words string, starts long, h1 string, _id long, _th long, lines string"
-    none = (None,) * 10
+    extra = "doc_id long, text string, mini long, n long, b string, fp long, words string, starts long, h1 string, _id long, _th long, lines string, _kept int, _n_removed int, _q int, _rejected_by int, row int, body int, kinds int, th int, ids int, page_id int, url int"
+    none = (None,) * (extra.count(",") - 1)
     long = " ".join(WORDS[:90])
     rows = [(1, long, *none), (1, long, *none), (2, long, *none), (None, long, *none), (3, None, *none), (None, None, *none), (4, "", *none), (5, "\n\n\n", *none)]
     run = OPERATORS[name]
