@@ -16,9 +16,9 @@ super-k-mer; equal windows have equal minimisers, so they meet in one bucket.
    equal become one, and they travel to buckets of their own, where the same
    ``resolve`` decides. The second minimiser is the smallest hash among the
    grams that few strings of the bucket have (a common passage has only grams
-   that many have; what stands beside it differs), else among all grams. A
-   bucket that is still too large is cut a third time with longer grams, and
-   then to single windows, which travel with their bytes too.
+   that many have; what stands beside it differs), or among all if there are
+   none. A bucket that is still too large is cut a third time with longer grams,
+   and then to single windows, which travel with their bytes too.
 5. Verdicts go back to all instances and become spans of the documents.
 """
 
@@ -36,12 +36,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Different packed strings of one minimiser, and their bytes, that one task resolves at once at most; a suffix array of
-#: so many bytes takes some 50 MB in the worker.
-HOT, HOT_BYTES = 512, 512 << 10
-#: A gram is common in a hot bucket if over this share of ``HOT``, and of all strings of the bucket, have it.
-COMMON, COMMON_PART = 4, 1024
-#: One of so many grams is counted, and tried as a second minimiser first.
-SAMPLED = 8
+#: so many bytes takes some 0.2 GB in the worker.
+HOT, HOT_BYTES = 2000, 2 << 20
+#: A gram is common in a hot bucket if more than the COMMON-th part of ``HOT`` strings, and the COMMON_PART-th of the
+#: bucket's, have it, as estimated from one of ``SAMPLED`` strings: the estimate steers the dealing, not the results.
+COMMON, COMMON_PART, SAMPLED = 4, 1024, 16
 #: Times that a bucket is cut by a minimiser again before its windows travel alone, and parts of the join that tells tasks the common grams.
 RECUTS, SALTS = 2, 16
 #: Tokens hashed at once, and bytes of packed strings resolved at once.
@@ -228,13 +227,8 @@ def _own_grams(scheme: Scheme, packed: bytes, level: int) -> np.ndarray:
         return grams * _BASES[level % 2] ^ grams >> np.uint64(29)
 
 
-def _rarely_tried(grams: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return grams * _MIX >> np.uint64(61) != 0  # all but one of SAMPLED
-
-
 def _counted(scheme: Scheme, level: int) -> Callable:
-    """(mini, kinds, g, n): in how many packed strings of the task a gram is, for the grams that are counted."""
+    """(mini, kinds, g, n): in how many packed strings of the task a gram is."""
     schema = pa.schema([("mini", pa.int64()), ("kinds", pa.int64()), ("g", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +243,7 @@ def _counted(scheme: Scheme, level: int) -> Callable:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
         for mini, kinds, packed in common.rows(batches):
-            grams = np.unique(_own_grams(scheme, packed, level))
-            held.setdefault((mini, kinds), []).append(grams[~_rarely_tried(grams)])
+            held.setdefault((mini, kinds), []).append(np.unique(_own_grams(scheme, packed, level)))
             size += len(held[mini, kinds][-1])
             if size > 2 << 20:
                 yield from flush()
@@ -273,9 +266,7 @@ def _recut(scheme: Scheme, level: int) -> Callable:
             total = len(scheme.cut(packed)[3]) - w + 1
             return np.arange(total), np.ones(total, np.int64), np.zeros(total, np.uint64)
         grams = _own_grams(scheme, packed, level)
-        late = _rarely_tried(grams)
-        if known:
-            late |= np.isin(grams, np.array(known, np.int64).view(np.uint64))
+        late = np.isin(grams, np.array(known or (), np.int64).view(np.uint64))
         return _runs_of(grams >> np.uint64(1) | late.astype(np.uint64) << np.uint64(63), w, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +287,23 @@ def _recut(scheme: Scheme, level: int) -> Callable:
     return run
 
 
-def _decide(packed: DataFrame, scheme: Scheme, resolve: Resolve, level: int = 0) -> DataFrame:
+def _merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each string in order; those that touch and have one least doc_id become one."""
+    sink = common.Sink(_RUN_ARROW, 1 << 20)
+    for mini, ph1, ph2, runs in common.rows(batches):
+        out: list[list[int]] = []
+        for off, length, least in sorted((r["off"], r["len"], r["least"]) for r in runs):
+            if out and out[-1][2] == least and off <= out[-1][0] + out[-1][1]:
+                out[-1][1] = max(out[-1][1], off + length - out[-1][0])
+            else:
+                out.append([off, length, least])
+        for run in out:
+            if sink.add((mini, ph1, ph2, *run)):
+                yield sink.flush()
+    yield sink.flush()
+
+
+def _decide(packed: DataFrame, scheme: Scheme, resolve: Resolve, across: bool, level: int = 0) -> DataFrame:
     """Runs of the windows of packed strings, with the least doc_id that has each."""
 
     def settled(rows: DataFrame) -> DataFrame:
@@ -314,11 +321,12 @@ def _decide(packed: DataFrame, scheme: Scheme, resolve: Resolve, level: int = 0)
     hot = packed.join(large, "mini").withColumn("salt", F.pmod("ph1", F.lit(SALTS)))
     if level <= RECUTS:
         often = (
-            hot.select("mini", "kinds", "packed")
+            hot.where(F.pmod(F.xxhash64("ph1", "ph2"), F.lit(SAMPLED)) == 0)
+            .select("mini", "kinds", "packed")
             .mapInArrow(_counted(scheme, level), "mini long, kinds long, g long, n long")
             .groupBy("mini", "kinds", "g")
             .agg(F.sum("n").alias("n"))
-            .where((F.col("n") > HOT / COMMON) & (F.col("n") > F.col("kinds") / COMMON_PART))
+            .where((F.col("n") * SAMPLED > HOT / COMMON) & (F.col("n") * SAMPLED > F.col("kinds") / COMMON_PART))
         )
         # not more than COMMON_PART times the grams of one string
         known = often.groupBy("mini").agg(F.collect_list("g").alias("known")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
@@ -331,9 +339,14 @@ def _decide(packed: DataFrame, scheme: Scheme, resolve: Resolve, level: int = 0)
     again = pieces.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.sum("c").alias("c"), F.first("n").alias("n"), F.first("packed").alias("packed"))
     if level <= RECUTS:
         again = common.materialize(again, "pieces")
-    found = _decide(again, scheme, resolve, level)
-    back = pieces.select("pm", "p1", "p2", "at", *keys).join(found, keys)
-    return runs.unionByName(back.select(F.col("pm").alias("mini"), F.col("p1").alias("ph1"), F.col("p2").alias("ph2"), (F.col("at") + F.col("off")).alias("off"), "len", "least"))
+    found = _decide(again, scheme, resolve, across, level)
+    back = pieces.select("pm", "p1", "p2", "at", F.col("doc_id").alias("own"), *keys).join(found, keys)
+    # all that the string's instances ask of a least doc_id is whether it is below the least of their own
+    least = F.greatest("least", F.col("own") - 1) if across else F.lit(0).cast("long")
+    of_string = back.groupBy(F.col("pm").alias("mini"), F.col("p1").alias("ph1"), F.col("p2").alias("ph2")).agg(
+        F.collect_list(F.struct((F.col("at") + F.col("off")).alias("off"), "len", least.alias("least"))).alias("runs")
+    )
+    return runs.unionByName(of_string.mapInArrow(_merged_runs, _RUN))
 
 
 def spans(docs: DataFrame, scheme: Scheme, resolve: Resolve, across: bool, id_col: str, text_col: str) -> DataFrame:
@@ -362,7 +375,7 @@ def spans(docs: DataFrame, scheme: Scheme, resolve: Resolve, across: bool, id_co
     own = (text["doc_id"] == wanted["_doc"]) & (text["th"] == wanted["_th"])
     packed = text.join(wanted, own).select("doc_id", "b", "wanted").mapInArrow(_pack(scheme), _PACKED)
     packed = common.materialize(packed, "packed")
-    runs = _decide(packed, scheme, resolve)
+    runs = _decide(packed, scheme, resolve, across)
 
     back = mixed.join(runs, ["mini", "ph1", "ph2"])
     back = back.where("doc_id > least") if across else back
