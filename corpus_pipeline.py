@@ -16,7 +16,7 @@ from nearfield.llm import common, decontaminate, line_dedup, quality, queries, s
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
-    return quality.apply(docs).where("_rejected_by is null").select(docs.columns)
+    return quality.apply(docs, counts=False).where("_rejected_by is null").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
