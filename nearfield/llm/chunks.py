@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 
 #: Entries of one generation of a memo, characters of a text that are split at once, and bytes of texts cut at once.
-MEMO, SLAB, BYTES = 250_000, 1 << 20, 8 << 20
+MEMO, SLAB, BYTES = 250_000, 1 << 20, 4 << 20
 
 #: Fixed value: the pattern for which cutting at white space is known to keep all pre-tokens.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
