@@ -484,13 +484,13 @@ def benchmark_file(spark, sf):
     return spark.read.csv(path, header=True, schema="n int, slow_ms double, fast_ms double, speedup double")
 
 
-@query("SELECT * FROM (VALUES ('flat', 'omp', NULL, NULL, 1, 12::BIGINT, 0.5::DOUBLE, NULL::INT, NULL::INT), ('ivfpq', 'omp', '100-8', '10', 2, 7::BIGINT, 0.25::DOUBLE, 100, 8)) AS t(algorithm, parallel_mode, parameter1, parameter2, threads, latency_us, recall, nlist, m)")
+@query("SELECT * FROM (VALUES ('flat', 'omp', 'none', 'none', 1, 12::BIGINT, 0.5::DOUBLE, 0, 0), ('ivfpq', 'omp', '100-8', '10', 2, 7::BIGINT, 0.25::DOUBLE, 100, 8)) AS t(algorithm, parallel_mode, parameter1, parameter2, threads, latency_us, recall, nlist, m)")
 def result_files(spark, sf):
     """Result files behind one another, with markers and headers between."""
     path, head = store.fresh(spark, "results"), "algorithm,parallel_mode,parameter1,parameter2,threads,latency_us,recall@10"
     lines = ["==> one.csv <==", head, "flat,omp,-,-,1,12,0.5", "", "==> two.csv <==", head, "ivfpq,omp,100-8,10,2,7,0.25"]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
-    return results.read_concatenated(spark, path)
+    return results.read_concatenated(spark, path).fillna("none").fillna(0, ["nlist", "m"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
