@@ -39,7 +39,7 @@ MAX_FILE = 32 << 20
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit numbers")
 #: Ids that are decoded at once.
-_STEP = 4 << 20
+_STEP = 1 << 20
 #: Keys a bucket has on average.
 _PER_BUCKET = 2
 
@@ -198,6 +198,9 @@ class Tokenizer:
             at = to
 
 
+_RECODED = "doc_id long, ids array<int>, decoded binary"
+
+
 def load(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(read_ranks(path), pattern)
 
@@ -209,35 +212,41 @@ def _ids(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32)))
 
 
+def _encoded(own: Tokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for names, texts in grouped(batches):
+        parts = own.encoder.encode_all(texts)
+        at, size = 0, 0
+        for i, part in enumerate(parts):
+            size += len(part)
+            if size > 1 << 20 or i == len(parts) - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(names[at : i + 1], pa.int64()), _ids(parts[at : i + 1])], names=["doc_id", "ids"])
+                at, size = i + 1, 0
+
+
+def _decoded(own: Tokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names, lists, at = batch.column(0), batch.column(1), 0
+        for done in own.decode_all(lists):
+            yield pa.RecordBatch.from_arrays([names[at : at + len(done)], lists[at : at + len(done)], done], names=["doc_id", "ids", "decoded"])
+            at += len(done)
+
+
 def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) for each row."""
     shared = common.session(docs).sparkContext.broadcast(tokenizer)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for names, texts in grouped(batches):
-            parts = own.encoder.encode_all(texts)
-            at, size = 0, 0
-            for i, part in enumerate(parts):
-                size += len(part)
-                if size > 2 << 20 or i == len(parts) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(names[at : i + 1], pa.int64()), _ids(parts[at : i + 1])], names=["doc_id", "ids"])
-                    at, size = i + 1, 0
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, ids array<int>")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    return source.mapInArrow(lambda batches: _encoded(shared.value, batches), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, decoded binary) for each row."""
     shared = common.session(encoded).sparkContext.broadcast(tokenizer)
+    source = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
+    return source.mapInArrow(lambda batches: _decoded(shared.value, batches), _RECODED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            names, lists, at = batch.column(0), batch.column(1), 0
-            for done in own.decode_all(lists):
-                yield pa.RecordBatch.from_arrays([names[at : at + len(done)], lists[at : at + len(done)], done], names=["doc_id", "ids", "decoded"])
-                at += len(done)
 
-    source = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
-    return source.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+def recode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``decode`` makes of ``encode``, in one worker a task instead of two."""
+    shared = common.session(docs).sparkContext.broadcast(tokenizer)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    return source.mapInArrow(lambda batches: _decoded(shared.value, _encoded(shared.value, batches)), _RECODED)

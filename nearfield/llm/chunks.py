@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 
 #: Entries of one generation of a memo, characters of a text that are split at once, and bytes of texts cut at once.
-MEMO, SLAB, BYTES = 250_000, 1 << 20, 4 << 20
+MEMO, SLAB, BYTES = 250_000, 1 << 20, 2 << 20
 
 #: Fixed value: the pattern for which cutting at white space is known to keep all pre-tokens.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -212,12 +212,14 @@ class Encoder:
         pieces = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(data))
         coded = pieces.dictionary_encode()
         known = list(map(self.pieces.__getitem__, coded.dictionary.to_pylist()))
-        count = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        # places are below the group's bytes: 32 bits hold them
+        count = np.fromiter(map(len, known), np.int32, len(known)) // 4
         flat = np.frombuffer(b"".join(known), "<u4")
         code = coded.indices.to_numpy()
         n = count[code]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        shift = (np.cumsum(count) - count)[code] - ends[:-1]
-        ids = flat[np.repeat(shift, n) + np.arange(ends[-1])]
+        ends = np.concatenate(([0], np.cumsum(n, dtype=np.int32)), dtype=np.int32)
+        place = np.repeat((np.cumsum(count, dtype=np.int32) - count)[code] - ends[:-1], n)
+        place += np.arange(ends[-1], dtype=np.int32)
+        ids = flat[place]
         at = ends[np.searchsorted(begin, bounds)]
         return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]

@@ -35,7 +35,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
     tokenizer = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    done = bpe.decode(bpe.encode(docs, tokenizer), tokenizer)
+    done = bpe.recode(docs, tokenizer)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

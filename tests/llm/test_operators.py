@@ -184,6 +184,7 @@ def test_bpe_is_the_library(spark, docs, texts):
         ids = library.encode_ordinary(t)
         assert tuple(got[i])[1:] == (len(ids), sha(",".join(map(str, ids))), sha(t))
     own, rng = bpe.load(path, public_tokenizers.PATTERN), random.Random(3)
+    assert by_id(bpe.recode(docs, own)) == by_id(bpe.decode(bpe.encode(docs, own), own))
     for _ in range(3000):
         x = "".join(rng.choice("ab cde\n\t é日本　\xa0\x85 '1٣,.!\x1c\x00😀I'll  ") for _ in range(rng.randint(0, 40)))
         assert own.encode(x).tolist() == library.encode_ordinary(x)
