@@ -441,7 +441,7 @@ def hnsw_search(spark, sf):
 @query(f"WITH {BASE} {topk_sql(IP)}")
 def hnsw_full_beam(spark, sf):
     """A beam as wide as a shard finds what an exact search finds."""
-    return shown(_hnsw(spark, sf).search(queries_of(spark, sf), K, 4000))
+    return shown(_hnsw(spark, sf).search(queries_of(spark, sf), K, None))
 
 
 @query()

@@ -138,6 +138,19 @@ def test_graph(spark, data, tmp_path):
     assert 110 < flips[0] < 190 and 40 < flips[1] < 110
 
 
+def test_a_beam_as_wide_as_a_shard_is_exact(spark, data):
+    """Though no link leads to some nodes, and copies tie."""
+    base, _ = data
+    copies = base.where("id % 3 = 0").select((F.col("id") + 1000).alias("id"), "vec")
+    base = base.unionByName(copies).cache()
+    q = base.where("id % 7 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    for metric in ("ip", "l2"):
+        want = pairs(exact.exact_topk(base, q, 5, metric))
+        index = hnsw.HNSWIndex.build(base, 4, 8, metric, shard_rows=200, full="refuse")
+        assert pairs(index.search(q, 5, 400)) == want
+        assert pairs(index.search(q, 5, None)) == want
+
+
 def test_many_queries_stay_partitioned(data, monkeypatch):
     """Beyond the broadcast's bound, and with small blocks, chunks and memory: the same hits."""
     base, q = data
