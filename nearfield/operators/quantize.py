@@ -177,6 +177,10 @@ class ProductQuantizer:
     def coarse(self, codes: DataFrame, queries: DataFrame, p: int) -> DataFrame:
         return scan.scan_topk(codes.select("id", "codes", "norm2"), queries.select("qid", "qvec"), p, self.score)
 
+    def distances(self, codes: DataFrame, queries: DataFrame) -> DataFrame:
+        """(qid, id, dist) of every query and code: as many rows as their product, without a shuffle of them."""
+        return scan.scan_all(codes.select("id", "codes", "norm2"), queries.select("qid", "qvec"), self.score)
+
     def search(self, base: DataFrame, codes: DataFrame, queries: DataFrame, k: int, p: int) -> DataFrame:
         _check(k, p)
         return exact.rerank(self.coarse(codes, queries, p), base, queries, k)

@@ -28,8 +28,8 @@ QUERY_BLOCK, CHUNK = 2048, 2048
 BROADCAST_BYTES = 64 << 20
 #: Hits that a task holds before it gives them out, and blocks that it keeps prepared.
 HELD, PREPARED = 2 << 20, 8
-#: Rows of smaller steps inside a batch.
-BATCH = 1024
+#: Rows of smaller steps inside a batch, and pairs that a task gives out at once.
+BATCH, PAIRS = 1024, 1 << 17
 HITS = "qid long, id long, dist double"
 
 #: From a chunk: estimated distances, queries by rows (infinity excludes), and their exact values for pairs of places, or None if they are exact.
@@ -190,6 +190,42 @@ def _with_ids(scored: tuple, ids: np.ndarray) -> tuple:
     return dist, ids, exact
 
 
+def _all(prepare: Prepare) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[int, tuple[np.ndarray, Score]] = {}
+        last = None
+        for batch in batches:
+            for chunk_at, chunk, b, block in zip(batch.column("c").to_pylist(), batch.column("chunk"), batch.column("b").to_pylist(), batch.column("block")):
+                if chunk_at != last:
+                    last, rows = chunk_at, _from_bytes(chunk.as_py())
+                    ids = rows.column("id").to_numpy()
+                if b not in ready:
+                    queries = _from_bytes(block.as_py())
+                    while len(ready) >= PREPARED:
+                        del ready[next(iter(ready))]
+                    ready[b] = queries.column("qid").to_numpy(), prepare(matrix(queries.column("qvec")))
+                qids, score = ready[b]
+                step = max(1, PAIRS // len(qids))
+                for at in range(0, rows.num_rows, step):
+                    own = ids[at : at + step]
+                    dist, exact = score(rows.slice(at, step))
+                    if exact is not None:
+                        dist = exact(*np.indices(dist.shape).reshape(2, -1))
+                    columns = [np.repeat(qids, len(own)), np.tile(own, len(qids)), dist.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qid", "id", "dist"])
+
+    return run
+
+
+def scan_all(base: DataFrame, queries: DataFrame, prepare: Prepare) -> DataFrame:
+    """(qid, id, dist) of base(id, ...) and queries(qid, qvec), all of them: for statements and small sets; no pair is shuffled."""
+    chunks = pack(base, CHUNK, "chunk").withColumnRenamed("at", "c")
+    blocks = pack(queries, QUERY_BLOCK, "block").withColumnRenamed("at", "b")
+    if small(queries):
+        blocks = F.broadcast(blocks)
+    return chunks.crossJoin(blocks).select("c", "chunk", "b", "block").mapInArrow(_all(prepare), HITS)
+
+
 def rank(scored: DataFrame, k: int) -> DataFrame:
     """hits(qid, rank, id, dist): the k least by (dist, id)."""
     order = Window.partitionBy("qid").orderBy("dist", "id")

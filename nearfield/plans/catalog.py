@@ -288,9 +288,8 @@ def pq_lut(spark, sf):
 
 @query(f"{PQ_SQL} SELECT qid, id, round(dist, 6) AS dist FROM adc")
 def pq_adc_dist(spark, sf):
-    pq, q = _pq(spark, sf), queries_of(spark, sf)
-    norms = q.select("qid", vector.squared_norm(F.col("qvec")).alias("qnorm2"))
-    return quantize.adc_relational(pq.transform(base_of(spark, sf)), pq.table_frame(q), norms).select("qid", "id", F.round("dist", 6).alias("dist"))
+    pq = _pq(spark, sf)
+    return pq.distances(pq.transform(base_of(spark, sf)), queries_of(spark, sf)).select("qid", "id", F.round("dist", 6).alias("dist"))
 
 
 @query(f"{PQ_SQL} {rerank_sql('adc', P)}")

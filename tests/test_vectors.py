@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearfield.functions import vector
 from nearfield.operators import evaluate, exact, hnsw, ivf, kmeans, linalg, quantize, scan
+from nearfield.plans import catalog
 from nearfield.sources import results, vectors
 from nearfield.streaming.search import search_stream
 
@@ -180,6 +182,26 @@ def test_seeds_are_drawn_by_distance():
     assert (kmeans.seeds_of(np.ones((3, 2)), 3) == 1).all()
 
 
+def test_all_code_distances_without_a_shuffle(spark, data, monkeypatch):
+    base, q = data
+    pq = quantize.ProductQuantizer.fit(base, 4, 8, 3)
+    codes = pq.transform(base)
+    norms = q.select("qid", vector.squared_norm(F.col("qvec")).alias("qnorm2"))
+    rounded = lambda df: sorted((r["qid"], r["id"], round(r["dist"], 9)) for r in df.collect())
+    want = rounded(quantize.adc_relational(codes, pq.table_frame(q), norms))
+    assert rounded(pq.distances(codes, q)) == want and len(want) == 12 * 300
+    for name, value in (("BROADCAST_BYTES", 0), ("QUERY_BLOCK", 5), ("CHUNK", 7), ("PAIRS", 20), ("PREPARED", 1)):
+        monkeypatch.setattr(scan, name, value)
+    assert rounded(pq.distances(codes, q)) == want
+    products = rounded(scan.scan_all(base, q, exact.score("ip")))
+    assert products == rounded(exact.pair_distances(base, q))
+
+
+def test_pq_adc_dist_shuffles_no_pairs(spark):
+    plan = catalog.pq_adc_dist(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan
+
+
 def test_stored_quantizers(spark, data, tmp_path):
     base, q = data
     sq, pq = quantize.ScalarQuantizer.fit(base), quantize.ProductQuantizer.fit(base, 4, 8, 3, "kmeans++", 1)
