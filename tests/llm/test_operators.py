@@ -656,3 +656,11 @@ def test_edges(spark, name):
 
 def test_shared_folder(spark):
     assert common.shared_dir(spark).startswith("file:")
+
+
+def test_scratch_tables_start_no_process_for_checksum_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch", lambda s, name: f"file://{tmp_path}/{name}")
+    assert common.materialize(spark.range(0, 100, 1, 3), "own").count() == 100
+    assert len(list((tmp_path / "own").glob("*.parquet"))) == 3 and not list((tmp_path / "own").rglob("*.crc"))
+    spark.range(3).write.parquet(f"file://{tmp_path}/other")  # a caller's tables are written as before
+    assert list((tmp_path / "other").glob(".*.crc"))
