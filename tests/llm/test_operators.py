@@ -664,3 +664,34 @@ def test_scratch_tables_start_no_process_for_checksum_files(spark, tmp_path, mon
     assert len(list((tmp_path / "own").glob("*.parquet"))) == 3 and not list((tmp_path / "own").rglob("*.crc"))
     spark.range(3).write.parquet(f"file://{tmp_path}/other")  # a caller's tables are written as before
     assert list((tmp_path / "other").glob(".*.crc"))
+
+
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup])
+def test_windows_tables_start_no_process_in_executors(spark, monkeypatch, operator):
+    def refuse(*_):
+        raise AssertionError("Spark's writer has a folder for each attempt, and Hadoop starts chmod for it")
+
+    monkeypatch.setattr(common, "materialize", refuse)
+    monkeypatch.setattr(common, "GROUP_BYTES", 1)
+    monkeypatch.setattr(windows, "HOT", 1)
+    text = " ".join(f"word{i}" for i in range(90))
+    rows = [(1, text), (2, text[::-1]), (3, "other " + text), (4, None), (None, text)]
+    got = operator.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"] > 0) for r in got) == [(0, False), (1, operator is suffix_dedup), (2, False), (3, True), (4, False)]
+
+
+def test_written_tables_have_one_file_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch", lambda s, name: f"file://{tmp_path}/{name}")
+    many = spark.range(0, 3000, 1, 4).selectExpr("id", "cast(id as int) n", "cast(cast(id as string) as binary) b", "id % 3 = 0 as third")
+    got = common.written(many.where("id < 1000 or id >= 2000"), "own")
+    assert got.schema.simpleString() == many.schema.simpleString() and sorted(got.collect()) == sorted(many.where("id < 1000 or id >= 2000").collect())
+    assert sorted(f.name for f in (tmp_path / "own").iterdir()) == [f"part-0000{k}.parquet" for k in (0, 1, 2, 3)]
+    assert common.written(many.where("id < 0"), "none").count() == 0 and not list((tmp_path / "none").iterdir())
+
+    def broken(batches):
+        yield next(batches)
+        raise ValueError("halfway")
+
+    with pytest.raises(Exception, match="halfway"):
+        common.written(many, "broken", broken, "id long, n int, b binary, third boolean")
+    assert not list((tmp_path / "broken").iterdir())
