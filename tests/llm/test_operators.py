@@ -695,3 +695,7 @@ def test_written_tables_have_one_file_a_task(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="halfway"):
         common.written(many, "broken", broken, "id long, n int, b binary, third boolean")
     assert not list((tmp_path / "broken").iterdir())
+
+    monkeypatch.setattr(common.os, "listdir", lambda folder: ["part-00000.parquet"])
+    with pytest.raises(FileNotFoundError, match="part-00001"):
+        common.written(many, "not_shared")
